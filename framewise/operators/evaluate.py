@@ -129,7 +129,7 @@ def average_precision(gt: DataFrame, pred: DataFrame, videos: DataFrame, taus: t
                     taken.add((a, b))
                     hits.append(rank)
                 break
-        return pd.DataFrame({KEY: [pdf[KEY].iloc[0]] * len(hits), "tau": [tau] * len(hits), "_rank": hits})
+        return pd.DataFrame({KEY: pd.Series([pdf[KEY].iloc[0]] * len(hits), dtype=object), "tau": pd.Series([tau] * len(hits), dtype="int32"), "_rank": pd.Series(hits, dtype="int32")})
 
     hits = pairs.groupBy(KEY, "tau").applyInPandas(claim, f"`{KEY}` {kind}, tau int, _rank int").withColumn("_hit", F.lit(1))
     sizes = gt.groupBy(KEY).agg(F.count("*").alias("_g"))

@@ -125,7 +125,9 @@ def greedy_spans(frames: DataFrame, key: str, score: str = "score", frame: str =
                 spans[-1][1], spans[-1][3] = end, upto
             elif begin > spans[-1][1]:
                 spans.append([begin, end, before, upto])
-        return pd.DataFrame([(pdf[key].iloc[0], k, a, b, hi - lo) for k, (a, b, lo, hi) in enumerate(spans, 1)], columns=[key, "span", "start", "end", "positive_frames"])
+        out = pd.DataFrame([(k, a, b, hi - lo) for k, (a, b, lo, hi) in enumerate(spans, 1)], columns=["span", "start", "end", "positive_frames"], dtype="int64")
+        out.insert(0, key, pd.Series([pdf[key].iloc[0]] * len(out), dtype=object))
+        return out
 
     out = found.select(key, frame, "before", "upto_end").groupBy(key).applyInPandas(fold, f"`{key}` {kind}, span long, start long, end long, positive_frames long")
     count = F.col("end") - F.col("start") + 1

@@ -27,7 +27,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as texts; quoted fields may hold line breaks. Empty texts are null, rows of nulls go."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
     blank = df.select(*[F.when(F.trim(F.col(f"`{c}`")) != "", F.col(f"`{c}`")).alias(c) for c in df.columns])
-    return blank.na.drop(how="all")
+    return blank.where(F.coalesce(*[F.col(f"`{c}`") for c in df.columns]).isNotNull())
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
