@@ -107,15 +107,18 @@ def build(samples: dict[str, list[str]], sample_chars: int = SAMPLE_CHARS, most_
         sample = [s for text in chosen[lang] for s in [*normalised(text, symbol), between]]
         # A strange letter matches nothing, not even itself.
         moves, _ = suffix_automaton([between if s == STRANGE else s for s in sample])
-        root = np.full(width, offset * 2 + 1, np.int64)
+        # Where a phrase can't go on, a new one begins, which the lowest bit tells. The last row is the state
+        # between phrases: at the start, and after a symbol that the sample lacks and that is a phrase alone.
+        apart = offset + len(moves) * width
+        fresh = np.full(width, apart * 2 + 1, np.int64)
         for s, to in moves[0].items():
-            root[s] = (offset + to * width) * 2 + 1
-        table = np.tile(root, (len(moves), 1))
+            fresh[s] = (offset + to * width) * 2 + 1
+        table = np.tile(fresh, (len(moves) + 1, 1))
         for state, out in enumerate(moves):
             for s, to in out.items():
                 table[state, s] = (offset + to * width) * 2
         tables.append(table.ravel())
-        roots.append(offset)
+        roots.append(apart)
         bits.append(np.log2(max(2, len(sample))))
         offset += table.size
     if offset * 2 >= 1 << 31:
@@ -167,7 +170,7 @@ def phrases(parser: Parser, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarr
     order = np.argsort(-size, kind="stable")
     owner, start, size = owner[order], start[order], size[order]
     state = np.repeat(parser.roots[:, None], len(owner), axis=1)
-    breaks = np.ones(state.shape, np.int32)
+    breaks = np.zeros(state.shape, np.int32)
     for t in range(int(size[0]) if len(size) else 0):
         n = int(np.searchsorted(-size, -t, side="left"))  # blocks longer than t
         moved = parser.table[state[:, :n] + symbols[start[:n] + t]]
