@@ -21,7 +21,7 @@ NEAR_BL, FACING_RAD, MAX_RATE = 1.5, math.pi / 4, 15.0
 WINDOW_SECONDS = (0.5, 1.0, 2.0, 4.0)
 GROUP = ["project_id", "day_label", "TrackUID_1", "TrackUID_2", "pair_episode_id"]
 DISTANCES = ["centroid_distance", "dist_nose1_nose2", "dist_nose1_tailtip2", "dist_nose2_tailtip1", "dist_nose1_spine4of2", "dist_nose2_spine4of1"]
-SPEEDS = ["speed_1_bl_s", "speed_2_bl_s", "speed_mean_bl_s", "speed_diff_bl_s"]
+SPEEDS = ["speed_bl_s_1", "speed_bl_s_2", "speed_mean_bl_s", "speed_diff_bl_s"]
 BEARINGS = ["bearing_1_rad", "bearing_2_rad"]
 STATS = ["close_frac", "mutual_facing_frac", "coverage", "distance_bl_mean", "speed_mean_bl_s_mean", "closing_speed_bl_s_mean", "bend_abs_mean", "abs_d_orbital_mean", "corotation_mean", "d_orbital_std", "orbit_turns_net", "orbit_turns_abs"]
 
@@ -31,7 +31,7 @@ def window_label(seconds: float) -> str:
 
 
 def window_columns(seconds: Sequence[float] = WINDOW_SECONDS) -> list[str]:
-    return [f"{s}_{window_label(x)}" for x in seconds for s in STATS]
+    return [f"{window_label(x)}_{s}" for x in seconds for s in STATS]
 
 
 def side(tracks: DataFrame, number: int, columns: Sequence[str]) -> DataFrame:
@@ -63,7 +63,7 @@ def add_distances(df: DataFrame, names: Sequence[str] = tuple(DISTANCES)) -> Dat
 def add_orientation(df: DataFrame) -> DataFrame:
     """Speeds, proximity and facing. Unknown inputs stay unknown; mutual facing is false as soon as one side is."""
     facing = lambda c: F.abs(wrap_rad(F.col(c))) < FACING_RAD
-    out = df.withColumns({"speed_mean_bl_s": (F.col("speed_1_bl_s") + F.col("speed_2_bl_s")) / 2, "speed_diff_bl_s": F.col("speed_1_bl_s") - F.col("speed_2_bl_s"), "proximity": F.col("centroid_distance_bl") <= NEAR_BL, "facing_1": facing("bearing_1_rad"), "facing_2": facing("bearing_2_rad")})
+    out = df.withColumns({"speed_mean_bl_s": (F.col("speed_bl_s_1") + F.col("speed_bl_s_2")) / 2, "speed_diff_bl_s": F.col("speed_bl_s_1") - F.col("speed_bl_s_2"), "proximity": F.col("centroid_distance_bl") <= NEAR_BL, "facing_1": facing("bearing_1_rad"), "facing_2": facing("bearing_2_rad")})
     return out.withColumn("mutual_facing", F.col("facing_1") & F.col("facing_2"))
 
 
@@ -83,39 +83,49 @@ def add_segments(df: DataFrame, keys: Sequence[str] = tuple(GROUP), frame: str =
     return df.withColumn("smooth_segment", F.sum(gap).over(_order(keys, frame).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+RATES = ("d_orbital_rad_s", "d_heading_1_rad_s", "d_heading_2_rad_s")
+
+
+def add_clean_rates(df: DataFrame) -> DataFrame:
+    """<rate>_clean without values beyond 15 rad/s, and whether any was dropped."""
+    dropped = F.lit(False)
+    for c in RATES:
+        dropped = dropped | F.coalesce(F.abs(c) > MAX_RATE, F.lit(False))
+    clean = {f"{c}_clean": F.when(F.abs(c) <= MAX_RATE, F.col(c)) for c in RATES}
+    return df.withColumns({**clean, "qc_angular_rate_clipped": dropped}).withColumn("abs_d_orbital_rad_s", F.abs("d_orbital_rad_s_clean"))
+
+
 def add_orbital(df: DataFrame, keys: Sequence[str] = (*GROUP, "smooth_segment"), frame: str = "FrameNum", angle: str = "orbital_rad") -> DataFrame:
-    """Wrapped step, rate and acceleration of the orbital angle inside a segment; rates beyond 15 rad/s are dropped."""
+    """Wrapped step and derived rate of the position angle inside a segment, both dropped beyond 15 rad/s, and the
+    acceleration of the supplied clean rate where there is a step."""
     order = _order(keys, frame)
     dt = F.when(F.col("dt_frames") > 0, F.col("dt_frames")) / FPS
     step = F.when(dt.isNotNull(), wrap_rad(F.col(angle) - F.lag(angle).over(order)))
-    out = df.withColumns({"_step": step, "_rate": step / dt})
+    change = F.col("d_orbital_rad_s_clean") - F.lag("d_orbital_rad_s_clean").over(order)
+    out = df.withColumns({"_step": step, "_rate": step / dt, "_change": change / dt})
     sane = F.abs("_rate") <= MAX_RATE
-    out = out.withColumns({"orbital_step_rad": F.when(sane, F.col("_step")), "orbital_rate_rad_s": F.when(sane, F.col("_rate")), "_sound": F.col("_step").isNotNull()})
-    return out.withColumn("orbital_accel_rad_s2", F.when(F.col("_sound"), (F.col("orbital_rate_rad_s") - F.lag("orbital_rate_rad_s").over(order)) / dt)).drop("_step", "_rate", "_sound")
+    out = out.withColumns({"orbital_step_rad": F.when(sane, F.col("_step")), "orbital_rate_derived_rad_s": F.when(sane, F.col("_rate")), "orbital_accel_rad_s2": F.when(F.col("_step").isNotNull(), F.col("_change"))})
+    return out.drop("_step", "_rate", "_change")
 
 
 def add_angular(df: DataFrame) -> DataFrame:
-    """Clipped heading rates, corotation, bends and sine/cosine encodings."""
-    clipped = {c: F.when(F.abs(c) <= MAX_RATE, F.col(c)) for c in ("d_heading_1_rad_s", "d_heading_2_rad_s", "d_orbital_rad_s")}
-    any_ = F.lit(False)
-    for c in clipped:
-        any_ = any_ | F.coalesce(F.abs(c) > MAX_RATE, F.lit(False))
-    out = df.withColumn("rate_clipped", any_).withColumns(clipped)
-    product = lambda k: F.signum(f"d_heading_{k}_rad_s") * F.signum("d_orbital_rad_s")
-    out = out.withColumns({
+    """Corotation (+1 where a side turns the way the pair rotates), mean sizes of turns and bends, and sine/cosine
+    encodings; needs the clean rates."""
+    product = lambda k: F.signum(f"d_heading_{k}_rad_s_clean") * F.signum("d_orbital_rad_s_clean")
+    out = df.withColumns({
         "corotation": mean_known(product(1), product(2)),
-        "heading_rate_abs_mean": mean_known(F.abs("d_heading_1_rad_s"), F.abs("d_heading_2_rad_s")),
-        "bend_abs_mean": mean_known(F.abs("bend_angle_rad_1"), F.abs("bend_angle_rad_2")),
+        "heading_rate_abs_mean_rad_s": mean_known(F.abs("d_heading_1_rad_s_clean"), F.abs("d_heading_2_rad_s_clean")),
+        "bend_abs_mean_rad": mean_known(F.abs("bend_angle_rad_1"), F.abs("bend_angle_rad_2")),
     })
     return out.withColumns({f"{name}_{f}": getattr(F, f)(c) for name, c in (("rel_heading", "rel_heading_rad"), ("bearing_1", "bearing_1_rad"), ("bearing_2", "bearing_2_rad")) for f in ("sin", "cos")})
 
 
 def flag_lengths(df: DataFrame, keys: Sequence[str] = ("project_id", "day_label")) -> DataFrame:
-    """bad_body_length: a side's length is missing, not positive, or outside half to twice the video's median."""
+    """qc_bad_body_length: a side's length is missing, not positive, or outside half to twice the video's median."""
     both = df.select(*keys, F.explode(F.array("body_length_px_1", "body_length_px_2")).alias("_l")).where("_l > 0")
     medians = both.groupBy(*keys).agg(F.expr("percentile(_l, 0.5d)").alias("_median"))
     bad = lambda c: ~F.coalesce(F.col(c) > 0, F.lit(False)) | F.coalesce((F.col(c) < 0.5 * F.col("_median")) | (F.col(c) > 2 * F.col("_median")), F.lit(False))
-    return df.join(medians, list(keys), "left").withColumn("bad_body_length", bad("body_length_px_1") | bad("body_length_px_2")).drop("_median")
+    return df.join(medians, list(keys), "left").withColumn("qc_bad_body_length", bad("body_length_px_1") | bad("body_length_px_2")).drop("_median")
 
 
 def unwrap(df: DataFrame, column: str, out: str, keys: Sequence[str] = (*GROUP, "smooth_segment"), frame: str = "FrameNum") -> DataFrame:
@@ -170,14 +180,14 @@ def window_stats(seconds: float, keys: Sequence[str], frame: str, trailing: bool
         "distance_bl_mean": F.avg("centroid_distance_bl").over(w),
         "speed_mean_bl_s_mean": F.avg("speed_mean_bl_s").over(w),
         "closing_speed_bl_s_mean": F.avg("closing_speed_bl_s").over(w),
-        "bend_abs_mean": F.avg("bend_abs_mean").over(w),
-        "abs_d_orbital_mean": F.avg(near(F.abs("orbital_rate_rad_s"))).over(w),
+        "bend_abs_mean": F.avg("bend_abs_mean_rad").over(w),
+        "abs_d_orbital_mean": F.avg(near(F.col("abs_d_orbital_rad_s"))).over(w),
         "corotation_mean": F.avg(near(F.col("corotation"))).over(w),
-        "d_orbital_std": F.when(F.count(near(F.col("orbital_rate_rad_s"))).over(w) > 1, F.stddev_pop(near(F.col("orbital_rate_rad_s"))).over(w)),
+        "d_orbital_std": F.when(F.count(near(F.col("d_orbital_rad_s_clean"))).over(w) > 1, F.stddev_pop(near(F.col("d_orbital_rad_s_clean"))).over(w)),
         "orbit_turns_net": F.when(known, F.sum(step).over(w) / F.lit(TWO_PI)),
         "orbit_turns_abs": F.when(known, F.sum(F.abs(step)).over(w) / F.lit(TWO_PI)),
     }
-    return {f"{s}_{window_label(seconds)}": c for s, c in stats.items()}
+    return {f"{window_label(seconds)}_{s}": c for s, c in stats.items()}
 
 
 def add_windows(df: DataFrame, keys: Sequence[str] = (*GROUP, "smooth_segment"), frame: str = "FrameNum", seconds: Sequence[float] = WINDOW_SECONDS, trailing: bool = False) -> DataFrame:
@@ -189,11 +199,11 @@ def add_windows(df: DataFrame, keys: Sequence[str] = (*GROUP, "smooth_segment"),
 
 
 def add_qc(df: DataFrame, points: Sequence[str]) -> DataFrame:
-    """qc_missing_points: any of the coordinate columns is missing; they are dropped."""
+    """qc_missing_nose_or_tail: any of the coordinate columns is missing; they are dropped."""
     missing = F.lit(False)
     for p in points:
         missing = missing | finite(F.col(p)).isNull()
-    return df.withColumn("qc_missing_points", missing).drop(*points)
+    return df.withColumn("qc_missing_nose_or_tail", missing).drop(*points)
 
 
 def violations(features: DataFrame) -> DataFrame:
@@ -201,15 +211,37 @@ def violations(features: DataFrame) -> DataFrame:
     near = lambda a, b: F.abs(a - b) > 1e-6 * F.greatest(F.lit(1.0), F.abs(b))
     rules = {
         "pair_order": F.col("TrackUID_1") >= F.col("TrackUID_2"),
-        "speed_mean": near(F.col("speed_mean_bl_s"), (F.col("speed_1_bl_s") + F.col("speed_2_bl_s")) / 2),
+        "speed_mean": near(F.col("speed_mean_bl_s"), (F.col("speed_bl_s_1") + F.col("speed_bl_s_2")) / 2),
         "closing_sign": near(F.col("closing_speed_bl_s"), -F.col("approach_rate_bl_s")),
         "proximity": F.col("proximity") != (F.col("centroid_distance_bl") <= NEAR_BL),
         "facing": F.col("mutual_facing") & ~(F.col("facing_1") & F.col("facing_2")),
-        "coverage": (F.col("coverage_w1s") < 0) | (F.col("coverage_w1s") > 1),
+        "coverage": (F.col("w1s_coverage") < 0) | (F.col("w1s_coverage") > 1),
     }
     counted = {n: r for n, r in rules.items() if all(c in features.columns for c in _columns_of(n))}
     return features.agg(*[F.sum(F.coalesce(r, F.lit(False)).cast("long")).alias(n) for n, r in counted.items()])
 
 
 def _columns_of(rule: str) -> list[str]:
-    return {"pair_order": ["TrackUID_1"], "speed_mean": ["speed_mean_bl_s"], "closing_sign": ["approach_rate_bl_s"], "proximity": ["proximity"], "facing": ["mutual_facing"], "coverage": ["coverage_w1s"]}[rule]
+    return {"pair_order": ["TrackUID_1"], "speed_mean": ["speed_mean_bl_s"], "closing_sign": ["approach_rate_bl_s"], "proximity": ["proximity"], "facing": ["mutual_facing"], "coverage": ["w1s_coverage"]}[rule]
+
+
+#: The model-facing feature groups.
+FEATURE_GROUPS = {
+    "distance_proximity": [*[f"{d}_bl" for d in DISTANCES], "centroid_distance_bl_smooth", "proximity"],
+    "orientation_facing": ["facing_1", "facing_2", "mutual_facing", *[f"{a}_{f}" for a in ("rel_heading", "bearing_1", "bearing_2") for f in ("sin", "cos")]],
+    "speed_closing": [*SPEEDS, "approach_rate_bl_s", "closing_speed_bl_s", "speed_mean_bl_s_smooth"],
+    "angular_movement": ["d_orbital_rad_s_clean", "abs_d_orbital_rad_s", "orbital_rate_derived_rad_s", "orbital_accel_rad_s2", "d_heading_1_rad_s_clean", "d_heading_2_rad_s_clean", "heading_rate_abs_mean_rad_s", "corotation", "bend_abs_mean_rad"],
+    "temporal_consistency": window_columns(),
+}
+MODEL_FEATURES = [c for group in FEATURE_GROUPS.values() for c in group]
+
+#: Columns of the feature table, in order.
+OUTPUT_COLUMNS = [
+    "project_id", "day_index", "day_label", "Time_s", "FrameNum", "TrackID_1", "TrackID_2", "TrackUID_1", "TrackUID_2", "pair_episode_id", "dt_frames", "smooth_segment", "sex_1", "sex_2", "pair_sex",
+    *[f"{d}_px" for d in DISTANCES], "orbital_rad", "rel_heading_rad", *BEARINGS, "body_length_px_1", "body_length_px_2", "speed_bl_s_1", "speed_bl_s_2", *[f"{d}_bl" for d in DISTANCES],
+    "approach_rate_bl_s", "proximity", "facing_1", "facing_2", "mutual_facing", "speed_mean_bl_s", "speed_diff_bl_s", "closing_speed_bl_s",
+    *[f"{c}_smooth" for c in (*[f"{d}_bl" for d in DISTANCES], *BEARINGS, *SPEEDS)],
+    "qc_n_missing_kp_1", "qc_n_missing_kp_2", "qc_missing_nose_or_tail", "is_track_start_1", "is_track_end_1", "is_track_start_2", "is_track_end_2",
+    *RATES, "bend_angle_rad_1", "bend_angle_rad_2", "qc_bad_body_length", "qc_angular_rate_clipped", *[f"{r}_clean" for r in RATES], "abs_d_orbital_rad_s", "orbital_step_rad", "orbital_rate_derived_rad_s", "orbital_accel_rad_s2",
+    "corotation", "heading_rate_abs_mean_rad_s", "bend_abs_mean_rad", *[f"{a}_{f}" for a in ("rel_heading", "bearing_1", "bearing_2") for f in ("sin", "cos")], *window_columns(),
+]

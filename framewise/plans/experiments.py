@@ -24,19 +24,21 @@ class Variant:
 
 
 def variants(groups: dict[str, list[str]]) -> list[Variant]:
-    """The rule, every feature set for every learner (all, aggregates too, without and only each group), and the
-    linear model alone on the baselines' features."""
-    names = list(groups)
-    sets = {"all": tuple(names), "all_agg": (*names, "aggregates"), **{f"no_{n}": tuple(x for x in names if x != n) for n in names}, **{f"only_{n}": (n,) for n in names}}
-    out = [Variant("rule", "rule"), *[Variant(f"{k}_{learner}", learner, v) for k, v in sets.items() for learner in LEARNERS]]
-    return [*out, *[Variant(f"their_{k}", "logreg", (k,)) for k in ("lr", "xgb", "lr_xgb", "pose", "pairs")]]
+    """42 variants: the rule; for every learner all groups, with aggregates, the groups without angles and windows,
+    all but each group, the baselines' columns and everything; and for the linear model each group alone."""
+    names = tuple(groups)
+    early = ("distance_proximity", "orientation_facing", "speed_closing")
+    sets = {"all": names, "all_agg": (*names, "agg"), "v1_features": early, **{f"no_{n}": tuple(x for x in names if x != n) for n in names}}
+    sets |= {"their_lr102": ("lr",), "their_win155": ("win",), "their_both": ("lr", "win"), "mine_plus_their": (*names, "agg", "lr", "win")}
+    out = [Variant("rule_shared", "rule"), *[Variant(f"{learner}_{k}", learner, v) for learner in LEARNERS for k, v in sets.items()]]
+    return [*out, *[Variant(f"logreg_only_{n}", "logreg", (n,)) for n in names]]
 
 
 def columns_of(variant: Variant, groups: dict[str, list[str]], columns: list[str]) -> list[str]:
-    """Feature columns of a variant: its groups, ``all_`` aggregates, or a baseline's prefix."""
+    """Feature columns of a variant: those of its groups; agg, lr and win stand for columns with that prefix."""
     out: list[str] = []
     for g in variant.groups:
-        out += groups.get(g, [c for c in columns if c.startswith("all_" if g == "aggregates" else f"{g}_")])
+        out += groups.get(g, [c for c in columns if c.startswith(f"{g}_")])
     return out
 
 

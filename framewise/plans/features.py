@@ -14,23 +14,24 @@ POINTS = ["Nose_x", "Nose_y", "TailTip_x", "TailTip_y"]
 def motion_features(pairs: DataFrame, tracks: DataFrame, seconds=pairfeat.WINDOW_SECONDS, trailing: bool = False) -> DataFrame:
     """Pairs with both tracks to the full feature table: normalised distances, orientation, approach, smoothing,
     angular features, windowed statistics and flags. The windows share the exchange by the pair keys."""
-    columns = ["body_length_px", "speed_bl_s", "bend_angle_rad", *[c for c in POINTS if c in tracks.columns]]
-    out = pairfeat.join_tracks(pairs, tracks, columns).withColumnsRenamed({f"speed_bl_s_{k}": f"speed_{k}_bl_s" for k in (1, 2)})
+    columns = ["body_length_px", "speed_bl_s", "bend_angle_rad", *[c for c in ("is_track_start", "is_track_end", *POINTS) if c in tracks.columns]]
+    out = pairfeat.join_tracks(pairs, tracks, columns)
     out = pairfeat.add_distances(pairfeat.flag_lengths(out))
     out = pairfeat.add_segments(pairfeat.add_approach(pairfeat.add_orientation(out)))
     distances = [f"{d}_bl" for d in pairfeat.DISTANCES if f"{d}_bl" in out.columns]
     out = pairfeat.add_smoothed(out, [*distances, *pairfeat.SPEEDS], pairfeat.BEARINGS)
-    out = pairfeat.add_windows(pairfeat.add_angular(pairfeat.add_orbital(out)), seconds=seconds, trailing=trailing)
+    out = pairfeat.add_windows(pairfeat.add_angular(pairfeat.add_orbital(pairfeat.add_clean_rates(out))), seconds=seconds, trailing=trailing)
     held = [f"{c}_{k}" for k in (1, 2) for c in POINTS if f"{c}_{k}" in out.columns]
     return pairfeat.add_qc(out, held) if held else out
 
 
 def build_features(spark: SparkSession, track_paths: list[str], pair_paths: list[str], out: str) -> DataFrame:
-    """Load checked files, build the feature table and write it by video with its parameters."""
-    tracks = contracts.load(spark, track_paths, "tracks", ["body_length_px", "speed_bl_s", "bend_angle_rad", *POINTS])
-    wanted = ["centroid_distance_px", "orbital_rad", "rel_heading_rad", "bearing_1_rad", "bearing_2_rad", "d_heading_1_rad_s", "d_heading_2_rad_s", "d_orbital_rad_s", "pair_episode_id", "dt_frames"]
-    pairs = contracts.load(spark, pair_paths, "pairs", wanted)
-    features = motion_features(pairs, tracks)
+    """Load checked files, build the feature table in its declared columns and write it by video with its
+    parameters."""
+    tracks = contracts.load(spark, track_paths, "tracks", ["body_length_px", "speed_bl_s", "bend_angle_rad", "is_track_start", "is_track_end", *POINTS])
+    own = ["day_index", "Time_s", "TrackID_1", "TrackID_2", "sex_1", "sex_2", "pair_sex", "qc_n_missing_kp_1", "qc_n_missing_kp_2", "pair_episode_id", "dt_frames", "orbital_rad", "rel_heading_rad", *pairfeat.BEARINGS, *pairfeat.RATES]
+    pairs = contracts.load(spark, pair_paths, "pairs", [*[f"{d}_px" for d in pairfeat.DISTANCES], *own])
+    features = contracts.require_columns(motion_features(pairs, tracks), pairfeat.OUTPUT_COLUMNS, "feature table")
     intervals.write_features(features, out, {"window_seconds": list(pairfeat.WINDOW_SECONDS), "gap_seconds": pairfeat.GAP_SECONDS, "max_rate": pairfeat.MAX_RATE}, ("day_label",))
     return spark.read.parquet(out)
 
@@ -62,3 +63,14 @@ def evaluation(gt: DataFrame, pred: DataFrame, videos: DataFrame | None = None,
 def chunk(tables: dict[str, DataFrame], start: int, end: int, video: str, project: str | None = None) -> dict[str, DataFrame]:
     """A viewer's query: each table's rows of a frame range of one video; poses from one frame earlier."""
     return {name: contracts.scoped(df, start - (name == "poses"), end, video, project) for name, df in tables.items()}
+
+
+def label_file(spark: SparkSession, source: str, target: str, series: DataFrame, dist_max: float = 160.0) -> DataFrame:
+    """A copy of an interval file with the direction and cycles of each interval; old labels are replaced."""
+    if source.rstrip("/") == target.rstrip("/"):
+        raise ValueError("the labelled copy needs a place of its own")
+    rows = intervals.read_intervals(spark, source)
+    told = spans.rotation_labels(rows, spans.rotation_steps(series, ["video_id"], dist_max), "video_id")
+    out = told.select(F.col("video_id").alias("VideoID"), F.col("start").alias("StartFrame"), F.col("end").alias("EndFrame"), F.col("direction").alias("Direction"), F.round("cycles", 2).alias("Cycles"))
+    intervals.write_csv(out.orderBy("VideoID", "StartFrame"), target)
+    return out

@@ -207,22 +207,22 @@ def dup_key_check(spark, sf):
 GROUPS = "project_id, day_label, TrackUID_1, TrackUID_2, pair_episode_id"
 PK = ["day_label", "FrameNum", "TrackUID_1", "TrackUID_2"]
 pk = ", ".join(PK)
-F0 = A.MOTION + f""", f0 AS (SELECT *, centroid_distance_px / ((body_length_px_1 + body_length_px_2) / 2) AS dbl, (speed_1_bl_s + speed_2_bl_s) / 2 AS speed_mean, speed_1_bl_s - speed_2_bl_s AS speed_diff,
+F0 = A.MOTION + f""", f0 AS (SELECT *, centroid_distance_px / ((body_length_px_1 + body_length_px_2) / 2) AS dbl, (speed_bl_s_1 + speed_bl_s_2) / 2 AS speed_mean, speed_bl_s_1 - speed_bl_s_2 AS speed_diff,
   abs({A.sql_wrap('bearing_1_rad')}) < pi() / 4 AS facing_1, abs({A.sql_wrap('bearing_2_rad')}) < pi() / 4 AS facing_2 FROM motion),
 f1 AS (SELECT *, dbl <= 1.5 AS proximity, facing_1 AND facing_2 AS mutual, CASE WHEN dt_frames > 0 THEN (dbl - lag(dbl) OVER w) / (dt_frames / 30) END AS approach,
   CAST(sum(CASE WHEN dt_frames / 30 > 0.2::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY {GROUPS} ORDER BY FrameNum ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seg FROM f0 WINDOW w AS (PARTITION BY {GROUPS} ORDER BY FrameNum)),
 f2 AS (SELECT *, CASE WHEN dt_frames > 0 THEN {A.sql_wrap('orbital_rad - lag(orbital_rad) OVER w')} END AS step0 FROM f1 WINDOW w AS (PARTITION BY {GROUPS}, seg ORDER BY FrameNum)),
 f3 AS (SELECT *, CASE WHEN abs(step0 / (dt_frames / 30)) <= 15 THEN step0 END AS step, CASE WHEN abs(step0 / (dt_frames / 30)) <= 15 THEN step0 / (dt_frames / 30) END AS orate FROM f2),
-f4 AS (SELECT *, CASE WHEN step0 IS NOT NULL THEN (orate - lag(orate) OVER w) / (dt_frames / 30) END AS oaccel,
-  CASE WHEN abs(d_heading_1_rad_s) <= 15 THEN d_heading_1_rad_s END AS h1, CASE WHEN abs(d_heading_2_rad_s) <= 15 THEN d_heading_2_rad_s END AS h2, CASE WHEN abs(d_orbital_rad_s) <= 15 THEN d_orbital_rad_s END AS dor,
-  coalesce(abs(d_heading_1_rad_s) > 15, false) OR coalesce(abs(d_heading_2_rad_s) > 15, false) OR coalesce(abs(d_orbital_rad_s) > 15, false) AS clipped FROM f3 WINDOW w AS (PARTITION BY {GROUPS}, seg ORDER BY FrameNum)),
+f4a AS (SELECT *, CASE WHEN abs(d_heading_1_rad_s) <= 15 THEN d_heading_1_rad_s END AS h1, CASE WHEN abs(d_heading_2_rad_s) <= 15 THEN d_heading_2_rad_s END AS h2, CASE WHEN abs(d_orbital_rad_s) <= 15 THEN d_orbital_rad_s END AS dor,
+  coalesce(abs(d_heading_1_rad_s) > 15, false) OR coalesce(abs(d_heading_2_rad_s) > 15, false) OR coalesce(abs(d_orbital_rad_s) > 15, false) AS clipped FROM f3),
+f4 AS (SELECT *, CASE WHEN step0 IS NOT NULL THEN (dor - lag(dor) OVER w) / (dt_frames / 30) END AS oaccel FROM f4a WINDOW w AS (PARTITION BY {GROUPS}, seg ORDER BY FrameNum)),
 f5 AS (SELECT *, list_avg(list_filter([sign(h1) * sign(dor), sign(h2) * sign(dor)], lambda v: v IS NOT NULL)) AS corot, list_avg(list_filter([abs(h1), abs(h2)], lambda v: v IS NOT NULL)) AS habs, (abs(bend_angle_rad_1) + abs(bend_angle_rad_2)) / 2 AS bend FROM f4)"""
 
 
 def _features(spark, sf):
     m = pairfeat.add_distances(A.motion(spark, sf))
     m = pairfeat.add_segments(pairfeat.add_approach(pairfeat.add_orientation(m)))
-    return pairfeat.add_angular(pairfeat.add_orbital(m))
+    return pairfeat.add_angular(pairfeat.add_orbital(pairfeat.add_clean_rates(m)))
 
 
 @query(f"WITH {F0} SELECT {pk}, {r('dbl')} AS dbl, {r('speed_mean')} AS speed_mean, {r('speed_diff')} AS speed_diff, proximity, mutual FROM f1")
@@ -242,20 +242,20 @@ def smooth_segments(spark, sf):
 
 @query(f"WITH {F0} SELECT {pk}, {r('step', 3)} AS step, {r('orate', 3)} AS orate, {r('oaccel', 2)} AS oaccel FROM f4")
 def orbital_steps(spark, sf):
-    return _features(spark, sf).select(*PK, R("orbital_step_rad", 3, "step"), R("orbital_rate_rad_s", 3, "orate"), R("orbital_accel_rad_s2", 2, "oaccel"))
+    return _features(spark, sf).select(*PK, R("orbital_step_rad", 3, "step"), R("orbital_rate_derived_rad_s", 3, "orate"), R("orbital_accel_rad_s2", 2, "oaccel"))
 
 
 @query(f"WITH {F0} SELECT {pk}, clipped, {r('corot')} AS corot, {r('habs')} AS habs, {r('bend')} AS bend, {r('sin(rel_heading_rad)')} AS rel_sin, {r('cos(bearing_1_rad)')} AS b1_cos FROM f5")
 def corotation(spark, sf):
-    return _features(spark, sf).select(*PK, F.col("rate_clipped").alias("clipped"), R("corotation", alias="corot"), R("heading_rate_abs_mean", alias="habs"), R("bend_abs_mean", alias="bend"), R("rel_heading_sin", alias="rel_sin"), R("bearing_1_cos", alias="b1_cos"))
+    return _features(spark, sf).select(*PK, F.col("qc_angular_rate_clipped").alias("clipped"), R("corotation", alias="corot"), R("heading_rate_abs_mean_rad_s", alias="habs"), R("bend_abs_mean_rad", alias="bend"), R("rel_heading_sin", alias="rel_sin"), R("bearing_1_cos", alias="b1_cos"))
 
 
 def _window_sql(seconds: float, trailing: bool = False) -> str:
     before, after, span = pairfeat.window_bounds(seconds, trailing)
     near = lambda x: f"CASE WHEN proximity THEN {x} END"
     return f"""WITH {F0} SELECT {pk}, {r(f'sum(CASE WHEN proximity THEN 1 ELSE 0 END) OVER w / {span}')} AS close_frac, {r(f'sum(CASE WHEN mutual THEN 1 ELSE 0 END) OVER w / {span}')} AS mutual_facing_frac, {r(f'least(count(*) OVER w / {span}, 1)')} AS coverage,
-{r('avg(dbl) OVER w')} AS distance_bl_mean, {r('avg(speed_mean) OVER w')} AS speed_mean_bl_s_mean, {r('avg(-approach) OVER w', 3)} AS closing_speed_bl_s_mean, {r('avg(bend) OVER w')} AS bend_abs_mean, {r(f"avg({near('abs(orate)')}) OVER w", 3)} AS abs_d_orbital_mean,
-{r(f"avg({near('corot')}) OVER w")} AS corotation_mean, {r(f"CASE WHEN count({near('orate')}) OVER w > 1 THEN stddev_pop({near('orate')}) OVER w END", 3)} AS d_orbital_std, {r(f"sum({near('step')}) OVER w / (2 * pi())")} AS orbit_turns_net, {r(f"sum(abs({near('step')})) OVER w / (2 * pi())")} AS orbit_turns_abs
+{r('avg(dbl) OVER w')} AS distance_bl_mean, {r('avg(speed_mean) OVER w')} AS speed_mean_bl_s_mean, {r('avg(-approach) OVER w', 3)} AS closing_speed_bl_s_mean, {r('avg(bend) OVER w')} AS bend_abs_mean, {r(f"avg({near('abs(dor)')}) OVER w", 3)} AS abs_d_orbital_mean,
+{r(f"avg({near('corot')}) OVER w")} AS corotation_mean, {r(f"CASE WHEN count({near('dor')}) OVER w > 1 THEN stddev_pop({near('dor')}) OVER w END", 3)} AS d_orbital_std, {r(f"sum({near('step')}) OVER w / (2 * pi())")} AS orbit_turns_net, {r(f"sum(abs({near('step')})) OVER w / (2 * pi())")} AS orbit_turns_abs
 FROM f5 WINDOW w AS (PARTITION BY {GROUPS}, seg ORDER BY FrameNum RANGE BETWEEN {before} PRECEDING AND {after} FOLLOWING)"""
 
 
@@ -265,7 +265,7 @@ _DIGITS = {"closing_speed_bl_s_mean": 3, "abs_d_orbital_mean": 3, "d_orbital_std
 def _windowed(seconds: float, trailing: bool = False):
     def run(spark, sf):
         out = pairfeat.add_windows(_features(spark, sf), seconds=[seconds], trailing=trailing)
-        return out.select(*PK, *[R(f"{s}_{pairfeat.window_label(seconds)}", _DIGITS.get(s, 4), s) for s in pairfeat.STATS])
+        return out.select(*PK, *[R(f"{pairfeat.window_label(seconds)}_{s}", _DIGITS.get(s, 4), s) for s in pairfeat.STATS])
 
     run.__name__ = f"window_{'trailing' if trailing else 'stats'}_{pairfeat.window_label(seconds)[1:]}"
     return run
@@ -295,7 +295,7 @@ MED = """, ml AS (SELECT day_label, quantile_cont(l, 0.5) AS m FROM (SELECT day_
 
 @query(f"WITH {A.MOTION}{MED} SELECT {', '.join('motion.' + c for c in PK)}, " + " OR ".join(f"(body_length_px_{k} < 0.5 * m OR body_length_px_{k} > 2 * m)" for k in (1, 2)) + " AS bad FROM motion JOIN ml USING (day_label)")
 def body_length_flag(spark, sf):
-    return pairfeat.flag_lengths(A.motion(spark, sf)).select(*PK, F.col("bad_body_length").alias("bad"))
+    return pairfeat.flag_lengths(A.motion(spark, sf)).select(*PK, F.col("qc_bad_body_length").alias("bad"))
 
 
 @query(f"""WITH {A.PAIRS}, j AS (SELECT p.video_id, (a.track IS NULL) AS u1, (b.track IS NULL) AS u2 FROM pairs p LEFT JOIN (SELECT * FROM tracks WHERE track <> 3 OR frame % 2 = 0) a ON a.video_id = p.video_id AND a.frame = p.frame AND a.track = p.t1

@@ -100,7 +100,7 @@ def motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = {"project_id": F.lit("p"), "day_label": F.col("video_id"), "FrameNum": F.col("frame"), "TrackUID_1": F.col("t1"), "TrackUID_2": F.col("t2"), "centroid_distance_px": F.col("dist"), "orbital_rad": F.col("orbital"), "rel_heading_rad": F.col("rel_heading"), "dt_frames": F.col("dt"),
              "d_orbital_rad_s": F.col("rate"), "d_heading_1_rad_s": F.col("heading_1") * 6, "d_heading_2_rad_s": F.col("heading_2") * 3}
     for k in (1, 2):
-        named |= {f"body_length_px_{k}": F.col(f"body_{k}"), f"speed_{k}_bl_s": F.col(f"speed_{k}"), f"bend_angle_rad_{k}": F.col(f"bend_{k}"), f"bearing_{k}_rad": F.col(f"bearing_{k}"), f"qc_n_missing_kp_{k}": F.col(f"missing_{k}")}
+        named |= {f"body_length_px_{k}": F.col(f"body_{k}"), f"speed_bl_s_{k}": F.col(f"speed_{k}"), f"bend_angle_rad_{k}": F.col(f"bend_{k}"), f"bearing_{k}_rad": F.col(f"bearing_{k}"), f"qc_n_missing_kp_{k}": F.col(f"missing_{k}")}
     named["pair_sex"] = F.when(F.col("sex_1") != F.col("sex_2"), "FM").otherwise("MM")
     return p.select("pair_episode_id", *[c.alias(n) for n, c in named.items()])
 
@@ -108,7 +108,7 @@ def motion(spark: SparkSession, sf_dir: str) -> DataFrame:
 MOTION = PAIRS + """,
 motion AS (
   SELECT pair_episode_id, 'p' AS project_id, video_id AS day_label, frame AS FrameNum, t1 AS TrackUID_1, t2 AS TrackUID_2, dist AS centroid_distance_px, orbital AS orbital_rad, rel_heading AS rel_heading_rad, dt AS dt_frames,
-    rate AS d_orbital_rad_s, heading_1 * 6 AS d_heading_1_rad_s, heading_2 * 3 AS d_heading_2_rad_s, body_1 AS body_length_px_1, body_2 AS body_length_px_2, speed_1 AS speed_1_bl_s, speed_2 AS speed_2_bl_s,
+    rate AS d_orbital_rad_s, heading_1 * 6 AS d_heading_1_rad_s, heading_2 * 3 AS d_heading_2_rad_s, body_1 AS body_length_px_1, body_2 AS body_length_px_2, speed_1 AS speed_bl_s_1, speed_2 AS speed_bl_s_2,
     bend_1 AS bend_angle_rad_1, bend_2 AS bend_angle_rad_2, bearing_1 AS bearing_1_rad, bearing_2 AS bearing_2_rad, missing_1 AS qc_n_missing_kp_1, missing_2 AS qc_n_missing_kp_2, CASE WHEN sex_1 <> sex_2 THEN 'FM' ELSE 'MM' END AS pair_sex FROM pairs)"""
 
 

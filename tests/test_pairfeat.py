@@ -26,9 +26,9 @@ def test_closing_pair(spark):
     assert first.centroid_distance_bl == pytest.approx(1.8) and first.approach_rate_bl_s == pytest.approx(-6)
     assert first.speed_mean_bl_s == pytest.approx(1.5) and first.speed_diff_bl_s == pytest.approx(-1)
     assert first.facing_1 is False and first.facing_2 is True and first.mutual_facing is False
-    assert rows[0].approach_rate_bl_s is None and rows[0].orbital_rate_rad_s is None
-    assert first.orbital_step_rad == pytest.approx(0.1) and first.orbital_rate_rad_s == pytest.approx(3)
-    assert rows[3].rate_clipped and rows[3].d_orbital_rad_s is None
+    assert rows[0].approach_rate_bl_s is None and rows[0].orbital_rate_derived_rad_s is None
+    assert first.orbital_step_rad == pytest.approx(0.1) and first.orbital_rate_derived_rad_s == pytest.approx(3)
+    assert rows[3].qc_angular_rate_clipped and rows[3].d_orbital_rad_s_clean is None and rows[3].d_orbital_rad_s == 20
     assert last.centroid_distance_bl is None and not last.matched_1 and last.mutual_facing is True
     assert abs(abs(rows[2].bearing_1_rad_smooth) - math.pi) < 0.02
     assert rows[6].centroid_distance_bl_smooth == pytest.approx(8.0)
@@ -43,25 +43,25 @@ def test_gap_splits_segments(spark):
 
 
 def orbit(spark, trailing=False):
-    rows = [("p", "d", f, 1, 2, 1, None if f == 0 else 1.0, 0, f / 30, True, True, 1.0, 1.0, 0.0, 1.0, 0.2) for f in range(120)]
-    rows += [("p", "d", f, 1, 2, 2, None if f == 1000 else 1.0, 0, 0.0, False, False, 9.0, 1.0, 0.0, 1.0, 0.2) for f in range(1000, 1010)]
-    df = spark.createDataFrame(rows, KEY + ", smooth_segment long, orbital_rad double, proximity boolean, mutual_facing boolean, centroid_distance_bl double, speed_mean_bl_s double, closing_speed_bl_s double, corotation double, bend_abs_mean double")
-    return {r.FrameNum: r for r in pairfeat.add_windows(pairfeat.add_orbital(df), trailing=trailing).collect()}
+    rows = [("p", "d", f, 1, 2, 1, None if f == 0 else 1.0, 0, f / 30, True, True, 1.0, 1.0, 0.0, 1.0, 0.2, 1.0, 1.0, 1.0) for f in range(120)]
+    rows += [("p", "d", f, 1, 2, 2, None if f == 1000 else 1.0, 0, 0.0, False, False, 9.0, 1.0, 0.0, 1.0, 0.2, 0.0, 0.0, 0.0) for f in range(1000, 1010)]
+    df = spark.createDataFrame(rows, KEY + ", smooth_segment long, orbital_rad double, proximity boolean, mutual_facing boolean, centroid_distance_bl double, speed_mean_bl_s double, closing_speed_bl_s double, corotation double, bend_abs_mean_rad double, d_orbital_rad_s double, d_heading_1_rad_s double, d_heading_2_rad_s double")
+    return {r.FrameNum: r for r in pairfeat.add_windows(pairfeat.add_orbital(pairfeat.add_clean_rates(df)), trailing=trailing).collect()}
 
 
 def test_constant_orbit(spark):
     rows = orbit(spark)
-    assert rows[60].orbit_turns_net_w4s == pytest.approx(119 / 30 / (2 * math.pi))
-    assert rows[60].close_frac_w4s == pytest.approx(120 / 121)
-    assert rows[60].d_orbital_std_w1s == pytest.approx(0, abs=1e-9)
-    assert rows[1005].orbit_turns_net_w4s is None and rows[1005].close_frac_w4s == 0
-    assert rows[0].coverage_w0p5s == pytest.approx(9 / 16)
+    assert rows[60].w4s_orbit_turns_net == pytest.approx(119 / 30 / (2 * math.pi))
+    assert rows[60].w4s_close_frac == pytest.approx(120 / 121)
+    assert rows[60].w1s_d_orbital_std == pytest.approx(0, abs=1e-9)
+    assert rows[1005].w4s_orbit_turns_net is None and rows[1005].w4s_close_frac == 0
+    assert rows[0].w0p5s_coverage == pytest.approx(9 / 16)
 
 
 def test_trailing_windows_are_causal(spark):
     rows = orbit(spark, True)
-    assert rows[0].coverage_w4s == pytest.approx(1 / 121) and rows[0].orbit_turns_net_w4s is None
-    assert rows[119].coverage_w4s == pytest.approx(120 / 121)
+    assert rows[0].w4s_coverage == pytest.approx(1 / 121) and rows[0].w4s_orbit_turns_net is None
+    assert rows[119].w4s_coverage == pytest.approx(120 / 121)
 
 
 def test_unwrap_matches_numpy(spark):
@@ -100,3 +100,9 @@ def test_pose_features_hold_gaps(spark):
     assert got[21].Nose_mean == pytest.approx(math.log1p(1 / 27)) and got[5].bend_mean == pytest.approx(0, abs=1e-9)
     cut = {r.frame: r for r in framefeat.pose_features(poses.where("FrameNum <= 30"), spark.createDataFrame([("v", 31)], "video_id string, num_frames long"), ["video_id"]).collect()}
     assert all(cut[f].asDict() == got[f].asDict() for f in (10, 16, 30))
+
+
+def test_column_contracts():
+    assert [len(g) for g in pairfeat.FEATURE_GROUPS.values()] == [8, 9, 7, 9, 48]
+    assert len(pairfeat.OUTPUT_COLUMNS) == len(set(pairfeat.OUTPUT_COLUMNS)) == 133
+    assert set(pairfeat.MODEL_FEATURES) <= set(pairfeat.OUTPUT_COLUMNS)

@@ -104,3 +104,42 @@ def test_split_shares(spark):
     df = spark.range(1000).select("id", (F.col("id") % 4 == 0).cast("int").alias("label"))
     got = {(r.label, r.test): r["count"] for r in scoring.stratified_split(df, "id", "label").groupBy("label", "test").count().collect()}
     assert got == {(1, True): 50, (1, False): 200, (0, True): 150, (0, False): 600}
+
+
+def test_cache_follows_its_inputs(spark, tmp_path):
+    from framewise.sources import cache
+
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.read.parquet(str(tmp_path / "in"))
+
+    key = cache.signature(spark, [str(tmp_path / "in")], window=4)
+    assert cache.cached(spark, str(tmp_path), key, build).count() == cache.cached(spark, str(tmp_path), key, build).count() == 3
+    assert len(calls) == 1 and key != cache.signature(spark, [str(tmp_path / "in")], window=5)
+    spark.range(4).write.mode("append").parquet(str(tmp_path / "in"))
+    assert cache.signature(spark, [str(tmp_path / "in")], window=4) != key
+
+
+def test_labelled_copy(spark, tmp_path):
+    from framewise.plans import features
+
+    (tmp_path / "a.csv").write_text("VideoID,StartFrame,EndFrame,Direction\nv,0,89,CCW\n")
+    series = spark.range(200).select(F.lit("v").alias("video_id"), F.col("id").alias("frame"), F.lit(2 * math.pi).alias("rate"), F.lit(100.0).alias("dist"))
+    out = features.label_file(spark, str(tmp_path / "a.csv"), str(tmp_path / "b"), series).collect()
+    assert [(r.Direction, r.Cycles) for r in out] == [("CW", 3.0)]
+    assert intervals.read_intervals(spark, str(tmp_path / "b"), labels=True).first().direction == "CW"
+    with pytest.raises(ValueError, match="place of its own"):
+        features.label_file(spark, str(tmp_path / "a.csv"), str(tmp_path / "a.csv"), series)
+
+
+def test_variants():
+    from framewise.operators import pairfeat
+    from framewise.plans import experiments
+
+    found = experiments.variants(pairfeat.FEATURE_GROUPS)
+    assert len(found) == len({v.name for v in found}) == 42
+    every = next(v for v in found if v.name == "logreg_mine_plus_their")
+    assert experiments.columns_of(every, pairfeat.FEATURE_GROUPS, ["agg_n", "lr_a", "win_b", "x"]) == [*pairfeat.MODEL_FEATURES, "agg_n", "lr_a", "win_b"]
