@@ -282,11 +282,11 @@ def rolling_median_mean(spark, sf):
     return out.select(*PK, R("centroid_distance_bl_smooth", alias="dist_smooth"), R("speed_mean_bl_s_smooth", alias="speed_smooth"))
 
 
-@query(f"""WITH {F0}, a AS (SELECT *, CASE WHEN FrameNum % 5 <> 0 THEN bearing_1_rad END AS v FROM f5), b AS (SELECT *, sum(CASE WHEN v IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY {GROUPS}, seg ORDER BY FrameNum ROWS UNBOUNDED PRECEDING) AS run FROM a),
+@query(f"""WITH {F0}, a AS (SELECT *, CASE WHEN qc_n_missing_kp_1 < 3 THEN bearing_1_rad END AS v FROM f5), b AS (SELECT *, sum(CASE WHEN v IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY {GROUPS}, seg ORDER BY FrameNum ROWS UNBOUNDED PRECEDING) AS run FROM a),
 c AS (SELECT *, v - lag(v) OVER (PARTITION BY {GROUPS}, seg, run ORDER BY FrameNum) AS d FROM b), e AS (SELECT *, CASE WHEN v IS NULL THEN NULL WHEN abs(d) >= pi() THEN (CASE WHEN {A.sql_wrap('d')} = -pi() AND d > 0 THEN pi() ELSE {A.sql_wrap('d')} END) - d ELSE 0 END AS fix FROM c)
 SELECT {pk}, {r('v + sum(fix) OVER (PARTITION BY ' + GROUPS + ', seg, run ORDER BY FrameNum ROWS UNBOUNDED PRECEDING)', 3)} AS unwrapped FROM e""")
 def circular_unwrap(spark, sf):
-    held = _features(spark, sf).withColumn("bearing", F.when(F.col("FrameNum") % 5 != 0, F.col("bearing_1_rad")))
+    held = _features(spark, sf).withColumn("bearing", F.when(F.col("qc_n_missing_kp_1") < 3, F.col("bearing_1_rad")))
     return pairfeat.unwrap(held, "bearing", "unwrapped").select(*PK, R("unwrapped", 3, "unwrapped"))
 
 
@@ -298,11 +298,11 @@ def body_length_flag(spark, sf):
     return pairfeat.flag_lengths(A.motion(spark, sf)).select(*PK, F.col("qc_bad_body_length").alias("bad"))
 
 
-@query(f"""WITH {A.PAIRS}, j AS (SELECT p.video_id, (a.track IS NULL) AS u1, (b.track IS NULL) AS u2 FROM pairs p LEFT JOIN (SELECT * FROM tracks WHERE track <> 3 OR frame % 2 = 0) a ON a.video_id = p.video_id AND a.frame = p.frame AND a.track = p.t1
-  LEFT JOIN (SELECT * FROM tracks WHERE track <> 3 OR frame % 2 = 0) b ON b.video_id = p.video_id AND b.frame = p.frame AND b.track = p.t2)
+@query(f"""WITH {A.PAIRS}, j AS (SELECT p.video_id, (a.track IS NULL) AS u1, (b.track IS NULL) AS u2 FROM pairs p LEFT JOIN (SELECT * FROM tracks WHERE missing < 3) a ON a.video_id = p.video_id AND a.frame = p.frame AND a.track = p.t1
+  LEFT JOIN (SELECT * FROM tracks WHERE missing < 3) b ON b.video_id = p.video_id AND b.frame = p.frame AND b.track = p.t2)
 SELECT video_id AS day_label, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (u1) AS BIGINT) AS unmatched_1, CAST(count(*) FILTER (u2) AS BIGINT) AS unmatched_2, {r('count(*) FILTER (u1) / count(*)')} AS unmatched_1_frac FROM j GROUP BY 1""")
 def unmatched_stats(spark, sf):
-    t = A.tracks(spark, sf).where("track <> 3 or frame % 2 = 0").select(F.lit("p").alias("project_id"), F.col("video_id").alias("day_label"), F.col("frame").alias("FrameNum"), F.col("track").alias("TrackUID"), "speed")
+    t = A.tracks(spark, sf).where("missing < 3").select(F.lit("p").alias("project_id"), F.col("video_id").alias("day_label"), F.col("frame").alias("FrameNum"), F.col("track").alias("TrackUID"), "speed")
     held = A.motion(spark, sf).select("project_id", "day_label", "FrameNum", "TrackUID_1", "TrackUID_2")
     out = pairfeat.unmatched(pairfeat.join_tracks(held, t, ["speed"]), ["day_label"])
     return out.select("day_label", "n", "unmatched_1", "unmatched_2", R("unmatched_1_frac", alias="unmatched_1_frac"))
@@ -636,9 +636,9 @@ def greedy_spans(spark, sf):
     return out.select("video_id", "span", "start", "end", "positive_frames", R("positive_fraction", alias="positive_fraction"))
 
 
-@query(f"WITH {A.SPANS} SELECT video_id, 'pred' AS missing_in FROM (SELECT DISTINCT video_id FROM gt WHERE video_id NOT IN (SELECT video_id FROM pred WHERE video_id <> 'v3')) UNION ALL SELECT video_id, 'gt' FROM (SELECT DISTINCT video_id FROM pred WHERE video_id <> 'v3' AND video_id NOT IN (SELECT video_id FROM gt))")
+@query(f"WITH {A.SPANS} SELECT video_id, 'pred' AS missing_in FROM (SELECT DISTINCT video_id FROM gt WHERE video_id NOT IN (SELECT video_id FROM pred WHERE score >= 0.995)) UNION ALL SELECT video_id, 'gt' FROM (SELECT DISTINCT video_id FROM pred WHERE score >= 0.995 AND video_id NOT IN (SELECT video_id FROM gt))")
 def scope_warnings(spark, sf):
-    return evaluate.scope(A.gt(spark, sf), A.pred(spark, sf).where("video_id <> 'v3'"))
+    return evaluate.scope(A.gt(spark, sf), A.pred(spark, sf).where("score >= 0.995"))
 
 
 # -- scores, reports, sampling ----------------------------------------------------------------------------------
