@@ -13,7 +13,7 @@ from framewise.llm.common import FOLD, SpanHash, Texts, add_columns, byte_values
 #: 2**BITS weights: their broadcast has a fixed size.
 BITS = 20
 MOST_ROWS, EPOCHS = 20_000, 6
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.0
 THRESHOLD = 0.7
 
 #: Words: runs of digits, letters and non-ASCII characters.
