@@ -131,55 +131,71 @@ def bit_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tree[:, 0:512:2][:, :256], tree[:, 1:512:2][:, :256]
 
 
+#: Nodes whose 255 decisions are worked out together.
+CHUNK = 512
+
+
+def by_chunks(work, *arrays: np.ndarray, kind=np.float64) -> np.ndarray:
+    """``work`` over rows, a few at a time, so that only its result is held for all nodes."""
+    out = np.empty((len(arrays[0]), 256), kind)
+    for a in range(0, len(out), CHUNK):
+        out[a : a + CHUNK] = work(*[x[a : a + CHUNK] for x in arrays])
+    return out
+
+
+def own_log(counts: np.ndarray) -> np.ndarray:
+    return log_kt(*bit_counts(counts))
+
+
+def own_chance(counts: np.ndarray) -> np.ndarray:
+    zeros, ones = bit_counts(counts)
+    return (ones + 0.5) / (zeros + ones + 1.0)
+
+
 class Tree:
-    """Nodes of all depths: names[k] are sorted context numbers of depth k, counts[k] their byte counts."""
+    """Nodes of all depths: names[k] are sorted context numbers of depth k, counts[k] their byte counts (float32;
+    a node's bytes are summed up exactly before). Besides counts, only logarithms and shares are held for all
+    nodes: about 8 KB each."""
 
     def __init__(self, depth: int, names: list[np.ndarray], counts: list[np.ndarray]):
         self.depth, self.names = depth, names
         self.first = np.cumsum([0, *[len(x) for x in names]])
         self.logp = np.zeros((self.first[-1], 256), np.float32)
-        weighted: list[np.ndarray | None] = [None] * (depth + 1)
-        inside, rest = [None] * (depth + 1), [None] * (depth + 1)
+        below: np.ndarray | None = None
+        inside: list[np.ndarray | None] = [None] * (depth + 1)
+        rest: list[np.ndarray | None] = [None] * (depth + 1)
         for k in range(depth, -1, -1):
-            own = log_kt(*bit_counts(counts[k]))
-            if k == depth or not len(names[k + 1]):
-                weighted[k] = own
-                continue
-            parent = np.searchsorted(names[k], names[k + 1] & ((1 << 8 * k) - 1))
-            taken = np.zeros_like(counts[k])
-            below = np.zeros_like(own)
-            np.add.at(taken, parent, counts[k + 1])
-            np.add.at(below, parent, weighted[k + 1])
-            rest[k] = counts[k] - taken
-            below += log_kt(*bit_counts(rest[k]))
-            has = np.zeros(len(names[k]), bool)
-            has[parent] = True
-            mixed = np.logaddexp(own, below) - math.log(2)
-            weighted[k] = np.where(has[:, None], mixed, own)
-            inside[k] = np.where(has[:, None], np.exp(own - math.log(2) - mixed), 1.0)
+            own = by_chunks(own_log, counts[k])
+            if k < depth and len(names[k + 1]):
+                parent = np.searchsorted(names[k], names[k + 1] & ((1 << 8 * k) - 1))
+                order = np.argsort(parent, kind="stable")
+                having, start = np.unique(parent[order], return_index=True)
+                rest[k] = counts[k].copy()
+                rest[k][having] -= np.add.reduceat(counts[k + 1][order], start, axis=0)
+                under = np.add.reduceat(below[order], start, axis=0)
+                under += by_chunks(own_log, rest[k][having])
+                mixed = np.logaddexp(own[having], under) - math.log(2)
+                inside[k] = np.ones(counts[k].shape, np.float32)
+                inside[k][having] = np.exp(own[having] - math.log(2) - mixed)
+                own[having] = mixed
+            below = own
+        del below, own
         # From the root down: the chance of a one below a node is a mixture of its own estimate and what is
         # below, so each node's own estimates carry the weight that the nodes above leave over.
-        left, sofar = None, None
+        left = sofar = None
         for k in range(depth + 1):
             if not len(names[k]):
                 break
-            zeros, ones = bit_counts(counts[k])
-            own = (ones + 0.5) / (zeros + ones + 1.0)
             if k == 0:
-                before, weight = np.zeros_like(own), np.ones_like(own)
+                before, weight = np.zeros(counts[0].shape, np.float32), np.ones(counts[0].shape, np.float32)
             else:
                 parent = np.searchsorted(names[k - 1], names[k] & ((1 << 8 * (k - 1)) - 1))
                 before, weight = sofar[parent], left[parent]
-            if inside[k] is None:
-                chance = before + weight * own
-                left, sofar = np.zeros_like(own), chance
-            else:
-                a, b = bit_counts(rest[k])
-                share = inside[k]
-                sofar = before + weight * share * own
-                left = weight * (1 - share)
-                chance = sofar + left * (b + 0.5) / (a + b + 1.0)
-            self.logp[self.first[k] : self.first[k + 1]] = byte_logs(chance)
+            share = inside[k] if inside[k] is not None else np.ones(counts[k].shape, np.float32)
+            sofar = by_chunks(lambda b, w, s, c: b + w * s * own_chance(c), before, weight, share, counts[k], kind=np.float32)
+            left = weight * (1 - share)
+            other = rest[k] if rest[k] is not None else counts[k]
+            self.logp[self.first[k] : self.first[k + 1]] = by_chunks(lambda s, w, c: byte_logs(s + w * own_chance(c)), sofar, left, other, kind=np.float32)
         self.moves = self._moves()
 
     def _moves(self) -> np.ndarray:
@@ -188,16 +204,17 @@ class Tree:
         for k in range(self.depth + 1):
             if not len(self.names[k]):
                 break
-            rows = moves[self.first[k] : self.first[k + 1]]
-            longer = (self.names[k][:, None] << 8) | np.arange(256)
-            for d in range(0, min(k + 1, self.depth) + 1):
-                if not len(self.names[d]):
-                    break
-                wanted = longer & ((1 << 8 * d) - 1)
-                at = np.searchsorted(self.names[d], wanted.ravel()).reshape(wanted.shape)
-                at[at == len(self.names[d])] = 0
-                found = self.names[d][at] == wanted
-                rows[found] = (self.first[d] + at)[found]
+            for a in range(0, len(self.names[k]), CHUNK):
+                rows = moves[self.first[k] + a : self.first[k] + min(a + CHUNK, len(self.names[k]))]
+                longer = (self.names[k][a : a + CHUNK, None] << 8) | np.arange(256)
+                for d in range(0, min(k + 1, self.depth) + 1):
+                    if not len(self.names[d]):
+                        break
+                    wanted = longer & ((1 << 8 * d) - 1)
+                    at = np.searchsorted(self.names[d], wanted.ravel()).reshape(wanted.shape)
+                    at[at == len(self.names[d])] = 0
+                    found = self.names[d][at] == wanted
+                    rows[found] = (self.first[d] + at)[found]
         return moves
 
 
@@ -225,7 +242,7 @@ def grow(counts: DataFrame, depth: int = DEPTH, share: float = SHARE) -> Tree:
         found, at = np.unique(context, return_inverse=True)
         if k == 0 and not len(found):
             found = np.zeros(1, np.int64)
-        table = np.zeros((len(found), 256))
+        table = np.zeros((len(found), 256), np.float32)
         table[at, byte] = n
         names.append(found.astype(np.int64))
         tables.append(table)
