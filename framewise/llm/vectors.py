@@ -96,7 +96,10 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     seen in its bucket, and one edge to the least vector it is connected with there.
     """
     spark = rows.sparkSession
-    source = rows.select(F.col(key).cast("long").alias("key"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("vector"))
+    # Parts travel as they are stored: 4 bytes each if they are floats, which doubles hold exactly.
+    single = rows.schema[vector].dataType.simpleString() == "array<float>"
+    source = rows.select(F.col(key).cast("long").alias("key"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<float>" if single else "array<double>").alias("vector"))
+    kind = np.float32 if single else np.float64
     usable = _fit("vector") & F.col("label").isNotNull()
     source = source.withColumn("node", F.when(usable, F.xxhash64("label", "vector")))
     nodes = source.where("node is not null").groupBy("node", "label", "vector").agg(F.count("*").alias("n"), F.min("key").alias("least"))
@@ -133,7 +136,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
             node, n, own = (table.column(c).to_numpy() for c in ("node", "n", "own"))
             nth = int(table.column("nth")[0].as_py())
             codes = np.array(table.column("codes").to_pylist())[:, :nth]
-            x = unit(np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(len(node), -1))
+            x = unit(np.frombuffer(b"".join(table.column("vector").to_pylist()), kind).reshape(len(node), -1))
             same_block = table.column("block_a")[0].as_py() == table.column("block_b")[0].as_py()
             left = np.arange(len(node)) if same_block else np.flatnonzero(own == table.column("block_a")[0].as_py())
             right = left if same_block else np.flatnonzero(own != table.column("block_a")[0].as_py())
