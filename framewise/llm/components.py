@@ -24,19 +24,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Large-star and small-star rounds (each hangs the larger neighbours of a node, then the smaller ones, below
     the least of them) until the edges are stars; the number of rounds grows with the logarithm of the size.
-    Every round is written to the shared folder. Self-loops and nulls are dropped; no edges give no rows.
+    Every round is written to the shared folder, and so are the least neighbours before the edges meet them: a
+    join of two plain shuffles (or a broadcast, if the written table is small) can split the edges of a hub,
+    which a join that shares the shuffle of a sum can't. Self-loops and nulls are dropped; no edges give no rows.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now = materialise(now, "edges")
     told = None
     for _ in range(MOST_ROUNDS):
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") / F.lit(2.0**40)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if seen[0] == 0 or (seen[0], seen[2]) == told:
+        seen = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if seen[0] == 0 or seen == told:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
-        told = (seen[0], seen[2])
+        told = seen
         both = now.union(now.select("v", "u"))
-        large = both.join(_least_neighbour(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        least = materialise(_least_neighbour(both), "least")
+        large = materialise(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least, "u")
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         now = materialise(small, "edges")
     raise RuntimeError("the components did not settle")

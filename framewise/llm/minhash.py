@@ -214,9 +214,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     second = _verified(open_.join(unsettled, "bucket", "left_semi"), sets, percent, block)
     roots = components(first.union(second))
 
-    placed = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = materialise(placed.join(least, "root").select("node", "component_id"), "placed")
+    # A class without links is its own component; a component's least key is written before its members, who may
+    # be a third of all classes, meet it, so that this join can be split.
+    linked = materialise(nodes.select("node", "least").join(roots, "node"), "linked")
+    of_root = materialise(linked.groupBy("root").agg(F.min("least").alias("component_id")), "of-root")
+    linked = linked.join(of_root, "root").select("node", "component_id")
+    placed = nodes.select("node", "least").join(linked, "node", "left")
+    placed = materialise(placed.select("node", F.coalesce("component_id", "least").alias("component_id")), "placed")
     out = rows.select("key", "n_shingles", "node").join(placed, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component_id"))
     return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
