@@ -167,9 +167,12 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     found = materialise(found, "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(found.where("node <> root"), "node", "root")
-    placed = nodes.select("node", "n", "least").join(links, "node", "left").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = placed.join(least, "root").select("node", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    # The least keys are written before a component's members, maybe a third of all classes, meet them.
+    linked = materialise(nodes.select("node", "least").join(parts, "node"), "linked")
+    of_root = materialise(linked.groupBy("root").agg(F.min("least").alias("component_id")), "of-root")
+    linked = linked.join(of_root, "root").select("node", "component_id")
+    placed = nodes.select("node", "n", "least").join(links, "node", "left").join(linked, "node", "left")
+    placed = placed.select("node", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     placed = materialise(placed, "placed")
     out = source.select("key", "node").join(placed, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component_id"))
