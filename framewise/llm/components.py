@@ -103,9 +103,11 @@ def block_pairs(rows: DataFrame, key: str, node: str, most: int) -> DataFrame:
     where they are in different blocks or, for one block, in (b, b); keys of up to ``most`` rows stay whole.
 
     A larger key is cut into blocks by a hash of the node, each row goes to the pairs of its own block with every
-    block. The column ``own`` names the row's block.
+    block. The column ``own`` names the row's block. The large keys are written first, so that their join needs
+    no shuffle by the key while they are few, and one that can be split when they aren't.
     """
     sizes = rows.groupBy(key).count().where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("_blocks"))
+    sizes = materialise(sizes, "sizes")
     cut = rows.join(sizes, key, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     cut = cut.withColumn("own", F.pmod(F.xxhash64(node), F.col("_blocks")).cast("int"))
     cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
