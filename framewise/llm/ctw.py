@@ -153,9 +153,9 @@ def own_chance(counts: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """Nodes of all depths: names[k] are sorted context numbers of depth k, counts[k] their byte counts (float32;
-    a node's bytes are summed up exactly before). Besides counts, only logarithms and shares are held for all
-    nodes: about 8 KB each."""
+    """Nodes of all depths: names[k] are sorted context numbers of depth k, counts[k] their byte counts (int64,
+    so that what a node's children leave over is exact at any size). Besides counts, only logarithms and shares are
+    held for all nodes: about 9 KB each."""
 
     def __init__(self, depth: int, names: list[np.ndarray], counts: list[np.ndarray]):
         self.depth, self.names = depth, names
@@ -242,7 +242,7 @@ def grow(counts: DataFrame, depth: int = DEPTH, share: float = SHARE) -> Tree:
         found, at = np.unique(context, return_inverse=True)
         if k == 0 and not len(found):
             found = np.zeros(1, np.int64)
-        table = np.zeros((len(found), 256), np.float32)
+        table = np.zeros((len(found), 256), np.int64)
         table[at, byte] = n
         names.append(found.astype(np.int64))
         tables.append(table)

@@ -101,6 +101,18 @@ def test_every_node_is_a_distribution(spark):
     assert np.allclose((10.0 ** tree.logp.astype(float)).sum(axis=1), 1, atol=1e-4)
 
 
+def test_counts_above_a_float_leave_no_remainder(spark):
+    """Every context is a node, so nothing may be left over at the root, however large the counts are."""
+    rows = [(256 * context + byte, (1 << 24) + 2 * k + 1) for k, context in enumerate(range(28, 128)) for byte in (105, 111)]
+    tree = ctw.grow(spark.createDataFrame(rows, "key long, n long"), 1, 2.0**-16)
+    assert len(tree.names[1]) == 100
+    below = np.zeros((100, 256), np.int64)
+    below[:, [105, 111]] = (1 << 24) + 2 * np.arange(100)[:, None] + 1
+    exact = ctw.Tree(1, tree.names, [below.sum(axis=0, keepdims=True), below])
+    assert np.isfinite(tree.logp).all() and np.allclose(tree.logp, exact.logp, atol=1e-6)
+    assert np.allclose((10.0 ** tree.logp.astype(float)).sum(axis=1), 1, atol=1e-4)
+
+
 def test_long_texts_are_walked_in_exact_blocks(spark):
     docs = spark.createDataFrame([(t,) for t in corpus(3, 60)], "text string")
     tree = ctw.grow(ctw.corpus_counts(docs, "text", 4).where("kind = 1"), 4, 0.002)
