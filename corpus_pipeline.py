@@ -15,6 +15,9 @@ from framewise.llm.common import materialise
 from framewise.llm.decontaminate import benchmark_hits
 from framewise.llm.queries import PII_KEY, table
 
+#: Percent of shared word shingles from which two documents are near-duplicates for the pipeline; op6 has its own.
+SIMILAR = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labels of all given documents and drops those that score 0.7 or more."""
@@ -23,8 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near-duplicates the document with the smallest id; rows without an id stay."""
-    gone = minhash.near_duplicates(docs).where("doc_id is not null and not kept").select("doc_id")
+    """Keeps of each component of near-duplicates (a similarity of 0.8 or more) the document with the smallest id;
+    rows without an id stay."""
+    gone = minhash.near_duplicates(docs, percent=SIMILAR).where("doc_id is not null and not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

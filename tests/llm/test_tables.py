@@ -213,3 +213,20 @@ def test_pipeline_matches_its_stages_by_brute_force(spark, tmp_path):
         assert got[k].text == (None if text is None else pii.replace(PII_KEY, text, lambda kind, v: pii.pseudonym(PII_KEY, kind, v))[0])
     assert {r.bucket for r in got.values()} and all(r.n_tokens <= r.boundary for r in got.values())
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "minhash", "decontamination", "pii", "packing"]
+
+
+def test_pipeline_links_from_a_similarity_of_four_fifths(spark):
+    import corpus_pipeline
+
+    def changed(words, at):
+        return [*words[:at], "other", *words[at + 1 :]]
+
+    rows = []
+    for k, n in enumerate((49, 50, 55)):  # one changed word inside: (n - 9) / (n + 1) = 0.80, 0.804, 0.821
+        words = [f"w{k}x{j}" for j in range(n)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed(words, 20)))]
+    words = [f"z{j}" for j in range(48)]  # 39 / 49 = 0.796
+    rows += [(10, " ".join(words)), (11, " ".join(changed(words, 20)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept == {0, 2, 4, 10, 11}
