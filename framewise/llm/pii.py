@@ -221,15 +221,31 @@ def pseudonym(key: bytes, kind: str, value: str, invert: bool = False) -> str |
     return PERMUTE[kind](key, value, invert)
 
 
+#: Kinds whose match may have run on into the number or word beside the value.
+RUNS_ON = ("card", "iban", "phone")
+SEPARATOR = re.compile(r"(?<=[0-9A-Za-z)])[ .-]")
+
+
 def replace(key: bytes, text: str, memo, invert: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
-    """The text with every validated value replaced, and (kind, start, end) of each in the original."""
+    """The text with every validated value replaced, and (kind, start, end) of each in the original.
+
+    A match that fails validation is read again without its last token, the last two and so on; if no reading is
+    valid, the scan goes on one character later, so at the next token inside the match. A pseudonym beside a
+    number can by chance be valid together with it; inverting such a text then reads the longer value.
+    """
     out, spans, at, since = [], [], 0, 0
     while m := SCAN.search(text, at):
         kind = m.lastgroup if m.lastgroup != "value" else "secret"
         start, end = m.span("value") if m["value"] else m.span()
-        new = memo(kind, text[start:end]) if not invert else pseudonym(key, kind, text[start:end], True)
-        if new is None:
-            at = m.start() + 1 if m.end() - m.start() > 24 else m.end()
+        ends = [end]
+        if kind in RUNS_ON:
+            ends += [x.start() for x in SEPARATOR.finditer(text, start, end)][::-1]
+        for end in ends:
+            new = memo(kind, text[start:end]) if not invert else pseudonym(key, kind, text[start:end], True)
+            if new is not None:
+                break
+        else:
+            at = m.start() + 1
             continue
         out += [text[since:start], new]
         spans.append((kind, start, end))

@@ -191,6 +191,27 @@ def test_what_does_not_validate_stays(text):
     assert pii.replace(KEY, text, lambda k, v: pii.pseudonym(KEY, k, v)) == (text, [])
 
 
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("4111 1111 1111 1111 12/27", "4111 1111 1111 1111"),
+        ("pay 4111 1111 1111 1111 123 now", "4111 1111 1111 1111"),
+        ("Order 7 4111 1111 1111 1111", "4111 1111 1111 1111"),
+        ("2024 11 4111-1111-1111-1111 123", "4111-1111-1111-1111"),
+        ("BE68 5390 0754 7034 USD", "BE68 5390 0754 7034"),
+        ("BE68539007547034 PAID NOW", "BE68539007547034"),
+        ("AB13 BE68 5390 0754 7034", "BE68 5390 0754 7034"),
+        ("+44 20 7946 0958 2021 1012", "+44 20 7946 0958"),
+    ],
+)
+def test_values_beside_a_short_token_are_replaced(text, value):
+    kind = "iban" if "BE68" in value else "phone" if "+" in value else "card"
+    out, spans = pii.replace(KEY, text, lambda k, v: pii.pseudonym(KEY, k, v))
+    at = text.index(value)
+    assert spans == [(kind, at, at + len(value))]
+    assert out == text.replace(value, pii.pseudonym(KEY, kind, value))
+
+
 def test_feistel_permutes_every_range():
     for size in (1, 2, 3, 10, 97, 256, 1000):
         got = [pii.feistel(KEY, "t", x, size) for x in range(size)]
