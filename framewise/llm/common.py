@@ -6,7 +6,7 @@ session names in ``spark.checkpoint.dir``; nothing is ever written to a machine-
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -33,12 +33,13 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is named only if none is set."""
+    """The folder that driver and executors share, as the session names it; there is no fallback to a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         set_by_context = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = set_by_context.get() if set_by_context.isDefined() else f"file://{tempfile.mkdtemp(prefix='llm-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not set_by_context.isDefined():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = set_by_context.get()
     return found.rstrip("/")
 
 
@@ -54,8 +55,49 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def open_folder(folder: str):
+    """File system and path of a folder in shared storage, for tasks that read or write byte ranges."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", folder))
+
+
+class Blocks:
+    """Rows written once to the shared folder as numbered Parquet files, which any task can open by number.
+
+    ``frame`` reads them with two more columns, ``file`` and ``row``: the address of a row. A later step that needs
+    texts again deals out addresses only and reads the texts where they lie, so texts are never shuffled.
+    """
+
+    def __init__(self, df: DataFrame, name: str, row_group: int = 8 << 20):
+        spark = df.sparkSession
+        self.path = new_folder(spark, name)
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", 0).option("parquet.block.size", row_group).parquet(self.path)
+        stored = spark.read.schema(df.schema).parquet(self.path)
+        names = stored.inputFiles()
+        #: Partitions to deal files out to; a number that is given isn't coalesced by the bytes of the addresses.
+        self.tasks = 2 * max(1, len(names))
+        some = next(iter(names), "part-00000.parquet").rpartition("/")[2]
+        self.pattern = re.sub(r"^part-\d+", "part-{:05d}", some)
+        number = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("int")
+        self.frame = stored.select("*", number.alias("file"), F.col("_metadata.row_index").alias("row"))
+
+    def reader(self) -> Callable:
+        """A function from a file's number to its row groups, in order, as (number of the first row, table)."""
+        path, pattern = self.path, self.pattern
+
+        def read(number: int, columns: list[str]):
+            import pyarrow.parquet as pq
+
+            system, folder = open_folder(path)
+            with system.open_input_file(f"{folder}/{pattern.format(number)}") as f:
+                stored, at = pq.ParquetFile(f), 0
+                for k in range(stored.num_row_groups):
+                    part = stored.read_row_group(k, columns=columns, use_threads=False)
+                    yield at, part
+                    at += part.num_rows
+
+        return read
 
 
 def crc_bucket(column: str, modulus: int):
@@ -109,6 +151,8 @@ class Texts:
     """A run of rows of one Arrow column as one byte array: row i is data[bounds[i]:bounds[i + 1]]."""
 
     def __init__(self, column: pa.Array):
+        if isinstance(column, pa.ChunkedArray):
+            column = column.cast(pa.large_string()).combine_chunks()
         column = column.cast(pa.large_string()).fill_null("")
         self.bounds, self.data = np.zeros(1, np.int64), np.zeros(0, np.uint8)
         if len(column):
@@ -135,6 +179,35 @@ class Texts:
         return starts, ends, np.searchsorted(starts, self.bounds)
 
 
+class Piece(Texts):
+    """Part of some texts: its row i is the bytes from ``start[i]`` on of text ``row[i]``."""
+
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, row: np.ndarray, start: np.ndarray):
+        self.data, self.bounds, self.row, self.start, self.rows = data, bounds, row, start, len(row)
+
+
+def pieces(texts: Texts, limit: int, overlap: int) -> Iterator[Piece]:
+    """All texts in pieces of about ``limit`` bytes. A longer text is cut, and each of its pieces but the last goes
+    on for ``overlap`` bytes into the next, so a step's memory doesn't follow the length of a text."""
+    sizes = np.diff(texts.bounds)
+    long = sizes > limit + overlap
+    group = (np.cumsum(np.where(long, 0, sizes)) - 1).clip(0) // limit
+    group = np.maximum.accumulate(group) + 2 * np.cumsum(long) - long if len(group) else group
+    cuts = np.flatnonzero(np.diff(group)) + 1
+    ends = [*cuts.tolist(), texts.rows] if texts.rows else []
+    first = 0
+    for end in ends:
+        rows = np.arange(first, end)
+        lo, hi = int(texts.bounds[first]), int(texts.bounds[end])
+        if long[first]:
+            for start in range(0, hi - lo - overlap, limit):
+                stop = min(hi - lo, start + limit + overlap)
+                yield Piece(texts.data[lo + start : lo + stop], np.array([0, stop - start]), rows, np.array([start]))
+        else:
+            yield Piece(texts.data[lo:hi], texts.bounds[first : end + 1] - lo, rows, np.zeros(len(rows), np.int64))
+        first = end
+
+
 def table_of(kept) -> np.ndarray:
     table = np.zeros(256, bool)
     table[list(kept)] = True
