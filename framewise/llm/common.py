@@ -6,6 +6,7 @@ session names in ``spark.checkpoint.dir``; nothing is ever written to a machine-
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -180,34 +181,100 @@ class Texts:
 
 
 class Piece(Texts):
-    """Part of some texts: its row i is the bytes from ``start[i]`` on of text ``row[i]``."""
+    """Part of some texts: its row i is the bytes from ``start[i]`` on of text ``row[i]``; ``last[i]`` tells whether
+    the text ends with it."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, row: np.ndarray, start: np.ndarray):
-        self.data, self.bounds, self.row, self.start, self.rows = data, bounds, row, start, len(row)
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, row: np.ndarray, start: np.ndarray, last: np.ndarray):
+        self.data, self.bounds, self.row, self.start, self.last, self.rows = data, bounds, row, start, last, len(row)
 
 
-def pieces(texts: Texts, limit: int, overlap: int) -> Iterator[Piece]:
-    """All texts in pieces of about ``limit`` bytes. A longer text is cut, and each of its pieces but the last goes
-    on for ``overlap`` bytes into the next, so a step's memory doesn't follow the length of a text."""
+def overlapping(data: np.ndarray, limit: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``limit`` bytes, each but the last going on for ``overlap`` bytes into the next."""
+    for start in range(0, len(data) - overlap, limit):
+        yield start, min(len(data), start + limit + overlap)
+
+
+def between_words(data: np.ndarray, limit: int, overlap: int = 0) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``limit`` bytes that end behind white space; a longer word stays whole."""
+    start = 0
+    while start < len(data):
+        stop = min(len(data), start + limit)
+        space = np.flatnonzero(~NOT_SPACE[data[start:stop]]) if stop < len(data) else []
+        if len(space):
+            stop = start + int(space[-1]) + 1
+        while stop < len(data) and not len(space):
+            space = np.flatnonzero(~NOT_SPACE[data[stop : stop + limit]])
+            stop = stop + int(space[0]) + 1 if len(space) else min(len(data), stop + limit)
+        yield start, stop
+        start = stop
+
+
+def pieces(texts: Texts, limit: int, overlap: int = 0, cut: Callable = overlapping) -> Iterator[Piece]:
+    """All texts in pieces of about ``limit`` bytes. Short texts share one, a longer text is cut, so that a step's
+    memory doesn't follow the length of a text."""
     sizes = np.diff(texts.bounds)
     long = sizes > limit + overlap
     group = (np.cumsum(np.where(long, 0, sizes)) - 1).clip(0) // limit
-    group = np.maximum.accumulate(group) + 2 * np.cumsum(long) - long if len(group) else group
-    cuts = np.flatnonzero(np.diff(group)) + 1
-    ends = [*cuts.tolist(), texts.rows] if texts.rows else []
+    group = group + 2 * np.cumsum(long) - long
     first = 0
-    for end in ends:
+    for end in [*(np.flatnonzero(np.diff(group)) + 1).tolist(), texts.rows] if texts.rows else []:
         rows = np.arange(first, end)
         lo, hi = int(texts.bounds[first]), int(texts.bounds[end])
         if long[first]:
-            for start in range(0, hi - lo - overlap, limit):
-                stop = min(hi - lo, start + limit + overlap)
-                yield Piece(texts.data[lo + start : lo + stop], np.array([0, stop - start]), rows, np.array([start]))
+            for start, stop in cut(texts.data[lo:hi], limit, overlap):
+                yield Piece(texts.data[lo + start : lo + stop], np.array([0, stop - start]), rows, np.array([start]), np.array([stop == hi - lo]))
         else:
-            yield Piece(texts.data[lo:hi], texts.bounds[first : end + 1] - lo, rows, np.zeros(len(rows), np.int64))
+            yield Piece(texts.data[lo:hi], texts.bounds[first : end + 1] - lo, rows, np.zeros(len(rows), np.int64), np.ones(len(rows), bool))
         first = end
 
 
+def words_from(data: np.ndarray, place: np.ndarray, order: str = "<") -> np.ndarray:
+    """Eight bytes from each place on as one number ("<": the first byte lowest, ">": highest). ``data`` must go on
+    for eight bytes behind every place."""
+    every = np.ndarray((max(len(data) - 7, 0),), f"{order}u8", np.ascontiguousarray(data), strides=(1,))
+    return every[place].astype(np.uint64)
+
+
+#: Spans above this many bytes are hashed one by one.
+LONG_SPAN = 1 << 12
+
+
+def span_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit keys of byte ranges, chained over eight bytes at a time, so that no sums of powers can cancel."""
+    size = end - start
+    padded = np.append(data, np.zeros(8, np.uint8))
+    key = mix64(size.astype(np.uint64) + MIX_2)
+    active, at = np.flatnonzero((size > 0) & (size <= LONG_SPAN)), 0
+    while len(active):
+        word = words_from(padded, start[active] + at)
+        left = (size[active] - at).clip(max=8)
+        word &= np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - left) * 8).astype(np.uint64)
+        key[active] = mix64(key[active] ^ word * MIX_1) + word
+        at += 8
+        active = active[size[active] > at]
+    for k in np.flatnonzero(size > LONG_SPAN).tolist():
+        key[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return key
+
+
+def by_key(batches, key: str, columns: list[str]):
+    """(key, columns) for each run of equal keys in a stream."""
+    held: list[list[pa.Array]] = []
+    now = None
+    for batch in batches:
+        found = batch.column(batch.schema.get_field_index(key)).to_numpy()
+        values = [batch.column(batch.schema.get_field_index(c)) for c in columns]
+        edges = [0, *(np.flatnonzero(np.diff(found)) + 1).tolist(), len(found)] if len(found) else [0]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if now is not None and found[a] != now:
+                yield now, [pa.chunked_array(c) for c in zip(*held, strict=True)]
+                held = []
+            now = int(found[a])
+            held.append([v.slice(a, b - a) for v in values])
+    if now is not None:
+        yield now, [pa.chunked_array(c) for c in zip(*held, strict=True)]
+
+
 def table_of(kept) -> np.ndarray:
     table = np.zeros(256, bool)
     table[list(kept)] = True

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.common import MIX_1, MIX_2, Blocks, Piece, SpanHash, Texts, byte_values, materialise, mix64, pieces
+from framewise.llm.common import MIX_1, MIX_2, Blocks, Piece, SpanHash, Texts, by_key, byte_values, materialise, mix64, pieces, words_from
 
 DEPTH, GRAM = 100, 32
 #: Text bytes that are scanned in one step, and the low bits of a hash that give way to a place in such a step.
@@ -93,14 +93,11 @@ class Anchors:
 
 
 def word_at(data: np.ndarray, place: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
-    """Eight bytes from each place on as one big-endian number, so that numbers are ordered as the bytes are; with
-    ``size``, bytes from the size-th on count as zero. ``data`` must go on for eight bytes behind every place."""
-    out = np.zeros(len(place), np.uint64)
-    for k in range(8):
-        byte = data[place + k].astype(np.uint64)
-        if size is not None:
-            byte[size <= k] = 0
-        out = (out << np.uint64(8)) | byte
+    """Eight bytes from each place on, so that numbers are ordered as the bytes are; with ``size``, bytes from the
+    size-th on count as zero. ``data`` must go on for eight bytes behind every place."""
+    out = words_from(data, place, ">")
+    if size is not None:
+        out &= ~(np.uint64(0xFFFFFFFFFFFFFFFF) >> (size.clip(0, 7) * 8).astype(np.uint64)) | np.where(size >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
     return out
 
 
@@ -231,30 +228,12 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array([last[1]], pa.int32()), pa.array([last[0]], pa.int64())], names=["file", "gram"])
 
 
-def _by_file(batches, columns: list[str]):
-    """(file, columns) of a stream sorted by file."""
-    held: list[list[np.ndarray]] = []
-    now = None
-    for batch in batches:
-        file = batch.column(batch.schema.get_field_index("file")).to_numpy()
-        values = [batch.column(batch.schema.get_field_index(c)) for c in columns]
-        edges = [0, *(np.flatnonzero(np.diff(file)) + 1).tolist(), len(file)] if len(file) else [0]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if now is not None and file[a] != now:
-                yield now, [pa.chunked_array(c) for c in zip(*held, strict=True)]
-                held = []
-            now = int(file[a])
-            held.append([v.slice(a, b - a) for v in values])
-    if now is not None:
-        yield now, [pa.chunked_array(c) for c in zip(*held, strict=True)]
-
-
 def _open(read, frequent, depth: int, step: int):
     """Runs whose gram is shared, with their bytes; those of a frequent gram as single windows."""
 
     def run(batches):
         often = np.sort(frequent.value)
-        for file, (grams,) in _by_file(batches, ["gram"]):
+        for file, (grams,) in by_key(batches, "file", ["gram"]):
             wanted = np.unique(grams.drop_null().to_numpy())
             for _, part in read(file, ["doc", "said", "text"]):
                 ids, says = part.column("doc").to_numpy(), part.column("said").to_numpy()
@@ -458,7 +437,7 @@ def _strip(read, names: list[str]):
     """Removed ranges merged, and what is left of each text."""
 
     def run(batches):
-        for file, (row, start, end) in _by_file(batches, ["row", "start", "end"]):
+        for file, (row, start, end) in by_key(batches, "file", ["row", "start", "end"]):
             row = row.filter(start.is_valid()).to_numpy()
             start, end = start.drop_null().to_numpy(), end.drop_null().to_numpy()
             nothing = np.zeros(len(row), np.int64)

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from framewise.llm import ctw
-from framewise.llm.common import Texts
+from framewise.llm.common import Texts, between_words, pieces
 
 
 def log_add(a, b):
@@ -85,48 +85,63 @@ def corpus(seed=1, n=25):
     return ["".join(rng.choice(["ab", "ba", "é", " ", "abc"]) for _ in range(rng.randint(0, 30))) for _ in range(n)] + ["x" * 300, "", None]
 
 
-def test_scores_match_a_recursive_tree(spark):
+@pytest.mark.parametrize(("unit", "step"), [(2, 1 << 20), (1, 40), (0, 100)])
+def test_scores_match_a_recursive_tree(spark, unit, step):
     texts = corpus()
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in ctw.score(spark, docs, docs.where("doc_id % 2 = 0"), ["doc_id"], depth=2, share=0.03).collect()}
-    brute = Brute([(t or "").encode() for k, t in enumerate(texts) if k % 2 == 0], 2, 0.03)
-    for k in (0, 1, 5, 8, 13, 26, 27):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in ctw.score(spark, docs, docs.where("doc_id % 2 = 0"), ["doc_id"], depth=2, unit=unit, step=step).collect()}
+    brute = Brute([(t or "").encode() for k, t in enumerate(texts) if k % 2 == 0], 2, 0)
+    for k in (0, 1, 5, 8, 13, 25, 26, 27):
         assert got[k].score == pytest.approx(brute.score((texts[k] or "").encode()), rel=1e-4)
 
 
-def test_every_node_is_a_distribution(spark):
-    docs = spark.createDataFrame([(t,) for t in corpus()], "text string")
-    tree = ctw.grow(ctw.corpus_counts(docs, "text", 3).where("kind = 1"), 3, 0.01)
-    assert len(tree.logp) > 10
-    assert np.allclose((10.0 ** tree.logp.astype(float)).sum(axis=1), 1, atol=1e-4)
+def grams_of(texts, depth):
+    found = Texts(pa.array(texts))
+    return np.concatenate([ctw.gram_keys(piece, depth)[1] for piece in pieces(found, 1 << 20, depth)])
 
 
-def test_counts_above_a_float_leave_no_remainder(spark):
-    """Every context is a node, so nothing may be left over at the root, however large the counts are."""
-    rows = [(256 * context + byte, (1 << 24) + 2 * k + 1) for k, context in enumerate(range(28, 128)) for byte in (105, 111)]
-    tree = ctw.grow(spark.createDataFrame(rows, "key long, n long"), 1, 2.0**-16)
-    assert len(tree.names[1]) == 100
-    below = np.zeros((100, 256), np.int64)
-    below[:, [105, 111]] = (1 << 24) + 2 * np.arange(100)[:, None] + 1
-    exact = ctw.Tree(1, tree.names, [below.sum(axis=0, keepdims=True), below])
-    assert np.isfinite(tree.logp).all() and np.allclose(tree.logp, exact.logp, atol=1e-6)
-    assert np.allclose((10.0 ** tree.logp.astype(float)).sum(axis=1), 1, atol=1e-4)
+def test_every_context_gives_a_distribution():
+    grams, n = np.unique(grams_of([t or "" for t in corpus()], 3), return_counts=True)
+    levels, _ = ctw.levels_of(grams, n, 3, 0)
+    for context in [*np.unique(grams >> 8)[::7].tolist(), 0x010203]:
+        assert (10 ** ctw.gram_logs(context << 8 | np.arange(256), levels)).sum() == pytest.approx(1, abs=1e-6)
 
 
-def test_long_texts_are_walked_in_exact_blocks(spark):
-    docs = spark.createDataFrame([(t,) for t in corpus(3, 60)], "text string")
-    tree = ctw.grow(ctw.corpus_counts(docs, "text", 4).where("kind = 1"), 4, 0.002)
+def test_large_counts_stay_exact():
+    """Counts far above a float's 24 bits: every decision's chance stays a chance."""
+    grams = np.array([c << 8 | b for c in range(28, 128) for b in (105, 111)])
+    levels, sums = ctw.levels_of(grams, (1 << 40) + np.arange(200), 1, 0)
+    logs = ctw.gram_logs(grams, levels)
+    assert np.isfinite(logs).all() and (10**logs).reshape(-1, 2).sum(axis=1) == pytest.approx(1, abs=1e-6)
+    assert sums.zeros[0] + sums.ones[0] == sum(range((1 << 40), (1 << 40) + 200))
+
+
+def test_pieces_see_the_bytes_before_them():
     text = "".join(t or "" for t in corpus(4, 120))
-    got = ctw.log_probability(Texts(pa.array([text, "", "ab"])), 4, tree.logp.ravel(), tree.moves.ravel())
-    state, total = 0, 0.0
-    for byte in bytes(4) + text.encode() + b"\0":
-        total += float(tree.logp[state, byte])
-        state = tree.moves[state, byte]
-    skipped, state = 0.0, 0
-    for byte in bytes(4):
-        skipped += float(tree.logp[state, byte])
-        state = tree.moves[state, byte]
-    assert got[0] == pytest.approx(total - skipped, rel=1e-6)
+    for depth in (0, 1, 4):
+        whole = grams_of([text, "", "ab"], depth)
+        for step in (7, 64, len(text.encode()) - 1):
+            cut = np.concatenate([ctw.gram_keys(piece, depth)[1] for piece in pieces(Texts(pa.array([text, "", "ab"])), step, depth)])
+            assert cut.tolist() == whole.tolist()
+        assert len(whole) == len(text.encode()) + 1 + 1 + 3
+
+
+def test_words_are_never_cut():
+    text = "aa bb\tcccccccccccccc  d " + "e" * 50 + "\nf"
+    for step in (1, 2, 5, 11, 100):
+        found = [p.data.tobytes() for p in pieces(Texts(pa.array([text])), step, cut=between_words)]
+        assert b"".join(found).decode() == text and [w for p in found for w in p.decode().split()] == text.split()
+
+
+def test_very_long_text_and_clashing_names(spark):
+    rng = random.Random(5)
+    long = " ".join(rng.choice(["alpha", "beta", "gam", "x" * 9]) for _ in range(300_000))
+    rows = [(1, long, 7, "s", 2.0), (2, long[:50_000], 8, "t", 3.0), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rare int, `a.b` string, score double")
+    got = {r.doc_id: r for r in ctw.score(spark, docs, docs, ["doc_id", "rare", "a.b", "score"], frequent=2).collect()}
+    again = {r.doc_id: r for r in ctw.score(spark, docs, docs, ["doc_id"], step=100_000).collect()}
+    assert got[1].n_tokens == 300_001 and got[1].n_known == 300_001 and (got[1].rare, got[1]["a.b"], got[None].rare) == (7, "s", None)
+    assert got[1].score == pytest.approx(again[1].score, rel=1e-6) and got[1].bits_per_byte < 1
 
 
 @pytest.mark.parametrize("frequent", [1 << 20, 3, 0])
@@ -137,7 +152,7 @@ def test_base_scores_match_brute_force(spark, frequent):
     words = lambda t: [*"".join(c.lower() if c.isascii() else c for c in t or "").split(), None]
     counts = Counter(w for _, t in train for w in words(t))
     n, v = sum(counts.values()), len(counts)
-    got = {r.doc_id: r for r in ctw.score(spark, docs, docs.where("doc_id < 3"), ["doc_id"], depth=1, share=0.1, frequent=frequent).collect()}
+    got = {r.doc_id: r for r in ctw.score(spark, docs, docs.where("doc_id < 3"), ["doc_id"], depth=1, frequent=frequent).collect()}
     for doc, text in rows:
         r = got[doc]
         assert r.n_tokens == len(words(text)) and r.train_tokens == n
