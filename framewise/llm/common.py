@@ -235,6 +235,12 @@ def words_from(data: np.ndarray, place: np.ndarray, order: str = "<") -> np.ndar
     return every[place].astype(np.uint64)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by a sort (faster for whole numbers than by hashing)."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 #: Spans above this many bytes are hashed one by one.
 LONG_SPAN = 1 << 12
 

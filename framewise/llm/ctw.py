@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewise.llm.common import FOLD, NOT_SPACE, Blocks, Piece, Texts, between_words, by_key, crc_bucket, materialise, pieces, span_keys
+from framewise.llm.common import FOLD, NOT_SPACE, Blocks, Piece, Texts, between_words, by_key, crc_bucket, distinct, materialise, pieces, span_keys
 from framewise.llm.components import groups
 
 DEPTH, UNIT = 5, 2
@@ -321,16 +321,16 @@ def _asked(read, depth: int, unit: int, shards: int, step: int):
         for file, _ in by_key(batches, "file", []):
             held, loose, upto, grams = [], 0, 0, np.zeros(0, np.int64)
             for _, _, piece in _walk(read, file, depth, step, ["text"]):
-                held.append(np.unique(gram_keys(piece, depth)[1]))
+                held.append(distinct(gram_keys(piece, depth)[1]))
                 loose, upto = loose + len(held[-1]), upto + 1
                 if loose > 2 * HELD:
-                    grams = np.unique(np.concatenate([grams, *held]))
+                    grams = distinct(np.concatenate([grams, *held]))
                     held, loose = [], 0
                     if len(grams) > HELD:
                         yield flush(file, upto, grams)
                         grams = np.zeros(0, np.int64)
             if held or len(grams):
-                yield flush(file, upto, np.unique(np.concatenate([grams, *held])))
+                yield flush(file, upto, distinct(np.concatenate([grams, *held])))
 
     return run
 
@@ -473,14 +473,14 @@ def score(spark: SparkSession, docs: DataFrame, train: DataFrame, keep: list[str
 
     words = counts.where(F.col("kind") == WORD)
     of_count = sorted(((r["n"], r["count"]) for r in words.groupBy("n").count().collect()), reverse=True)
-    tokens, distinct = sum(n * c for n, c in of_count), sum(c for _, c in of_count)
+    tokens, kinds = sum(n * c for n, c in of_count), sum(c for _, c in of_count)
     least, held = None, 0
     for n, c in of_count:
         if held + c > frequent:
             break
         least, held = n, held + c
     top = words.where(F.col("n") >= least).select("key", "n").toArrow() if least else pa.table({"key": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-    below, whole = math.log10(tokens + 0.5 * (distinct + 1)), held == distinct
+    below, whole = math.log10(tokens + 0.5 * (kinds + 1)), held == kinds
     known = spark.sparkContext.broadcast(Words(top.column("key").to_numpy(), top.column("n").to_numpy(), below, whole))
 
     names = [c for c in keep if c not in ("n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")]
