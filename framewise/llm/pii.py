@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as dt
 import functools
 import hashlib
+import ipaddress
 import re
 
 import numpy as np
@@ -32,19 +33,64 @@ FOUND = T.StructType(
     ]
 )
 
-#: One left-to-right scan; every repeat is bounded, so the scan is linear in the text.
-SCAN = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8})"
-    r"|(?P<secret>\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|secret|token|api_?key)\b)\s{0,3}[=:]\s{0,3}[\"']?(?P<value>(?=[A-Za-z_+/-]{0,64}[0-9])[0-9A-Za-z_+/-]{8,128}))"
-    r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<phone>(?<![\w.+])\+1[ .-]?(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}(?![\w])"
-    r"|(?<![\w.+])\+[2-9][0-9]{0,2}(?:[ .-]?[0-9]{2,4}){2,5}(?!\w)"
-    r"|(?<![\w(])\([2-9][0-9]{2}\) ?[2-9][0-9]{2}[.-][0-9]{4}(?!\w)"
-    r"|(?<![\w.-])[2-9][0-9]{2}[.-][2-9][0-9]{2}[.-][0-9]{4}(?![\w-]))"
-    r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
-    r"|(?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-]|\.[0-9]))"
-    r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))"
-    r"|(?P<card>(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))"
+#: Labels of secrets. After the first ones any value of some length counts, after the others one with a digit in it.
+LABELS = r"(?:password|passwd|pwd|passphrase)"
+OTHER_LABELS = r"(?:secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|auth[_-]?token|access[_-]?token|client[_-]?secret)"
+#: Prefixes by which issuers mark their tokens.
+PREFIXES = ("AKIA", "ASIA", "gh[pousr]_", "github_pat_", "glpat-", "sk-", "sk_live_", "sk_test_", "xox[abprs]-", "AIza", "npm_", "hf_", "eyJ")
+
+#: Patterns of the kinds, in the order in which they are tried, with a test of texts that can hold none of them.
+#: Repeats without an end are of one set of characters and begin where no such character is before them, so that the
+#: scan is linear in the text.
+PATTERNS = [
+    (r"(?P<email>(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", "@"),
+    (
+        rf"(?P<secret>(?<![\w-])(?:{'|'.join(PREFIXES)})(?=[A-Za-z_.-]*[0-9])[0-9A-Za-z_.-]{{15,}}(?<!\.)"
+        rf"|(?i:{LABELS})[\"']?\s{{0,3}}(?:=\s{{0,3}}[\"']?(?P<given>[0-9A-Za-z_+/.~!@#$%^&*-]{{8,}})|:\s{{0,3}}[\"']?(?P<said>(?:(?=[A-Za-z_+/-]*[0-9])[0-9A-Za-z_+/-]{{8,}}|[0-9A-Za-z_+/-]{{12,}})))"
+        rf"|(?i:{OTHER_LABELS})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?(?P<value>(?=[A-Za-z_+/.-]*[0-9])[0-9A-Za-z_+/.-]{{8,}}))",
+        rf"(?i:{LABELS}|{OTHER_LABELS})|{'|'.join(PREFIXES)}",
+    ),
+    (
+        r"(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
+        r"|(?P<phone>(?<![\w.+])\+1[ .-]?(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}(?![\w])"
+        r"|(?<![\w.+])\+[2-9][0-9]{0,2}(?:[ .-]?[0-9]{2,4}){2,5}(?!\w)"
+        r"|(?<![\w(])\([2-9][0-9]{2}\) ?[2-9][0-9]{2}[ .-][0-9]{4}(?!\w)"
+        r"|(?<![\w.-])[2-9][0-9]{2}(?P<gap>[ .-])[2-9][0-9]{2}(?P=gap)[0-9]{4}(?![\w-])"
+        r"|(?i:\b(?:phone|telephone|tel|mobile|cell|call|fax)\b)[.:]?\s{0,3}(?P<number>[2-9][0-9]{2}[2-9][0-9]{6})(?!\w))"
+        r"|(?P<ssn>(?<![\w-])[0-9]{3}(?P<dash>[ -])[0-9]{2}(?P=dash)[0-9]{4}(?![\w-]))"
+        r"|(?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-]|\.[0-9]))"
+        r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])|(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:]))"
+        r"|(?P<card>(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))",
+        "[0-9]",
+    ),
+]
+TESTS = [re.compile(test) for _, test in PATTERNS]
+
+
+@functools.cache
+def scanner(held: tuple[bool, ...]) -> re.Pattern:
+    """One left-to-right scan for the patterns that a text can hold. Nothing begins behind a letter or digit."""
+    return re.compile("(?<![A-Za-z0-9])(?:" + "|".join(p for (p, _), h in zip(PATTERNS, held, strict=True) if h) + ")")
+
+
+#: Groups inside a kind that hold the value itself.
+INNER = ("given", "said", "value", "number")
+
+#: Issuer ranges of payment cards as (first digits from, to, numbers of digits).
+ISSUERS = (
+    (4, 4, (13, 16, 19)),
+    (51, 55, (16,)),
+    (2221, 2720, (16,)),
+    (34, 34, (15,)),
+    (37, 37, (15,)),
+    (6011, 6011, (16, 19)),
+    (644, 649, (16, 19)),
+    (65, 65, (16, 19)),
+    (62, 62, (16, 17, 18, 19)),
+    (3528, 3589, (16, 17, 18, 19)),
+    (300, 305, (14, 16, 19)),
+    (36, 36, (14, 16, 19)),
+    (38, 39, (14, 16, 19)),
 )
 
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
@@ -76,13 +122,20 @@ def feistel(key: bytes, tweak: str, x: int, size: int, invert: bool = False) ->
             return x
 
 
-def permute_chars(key: bytes, tweak: str, value: str, invert: bool = False) -> str:
+#: Characters that are permuted as one number; a longer value is permuted part by part.
+PART = 64
+HEX_UPPER, HEX_LOWER = "ABCDEF", "abcdef"
+
+
+def permute_chars(key: bytes, tweak: str, value: str, invert: bool = False, kinds: tuple[str, ...] = (DIGITS, UPPER, LOWER)) -> str:
     """Digits, capitals and small letters change within their kind; every other character stays."""
-    alphabets = [next((a for a in (DIGITS, UPPER, LOWER) if c in a), c) for c in value]
+    if len(value) > PART:
+        return "".join(permute_chars(key, f"{tweak}|{a}/{len(value)}", value[a : a + PART], invert, kinds) for a in range(0, len(value), PART))
+    alphabets = [next((a for a in kinds if c in a), c) for c in value]
     size, x = 1, 0
     for c, a in zip(value, alphabets, strict=True):
         size, x = size * len(a), x * len(a) + a.index(c)
-    shape = "".join({DIGITS: "9", UPPER: "A", LOWER: "a"}.get(a, a) for a in alphabets)
+    shape = "".join({DIGITS: "9", UPPER: "A", LOWER: "a", HEX_UPPER: "F", HEX_LOWER: "f"}.get(a, a) for a in alphabets)
     x = feistel(key, f"{tweak}|{shape}", x, size, invert)
     out = []
     for a in reversed(alphabets):
@@ -110,11 +163,21 @@ def iban_check(country: str, body: str) -> str:
     return f"{98 - number % 97:02d}"
 
 
+def issuer(digits: str) -> int:
+    """How many first digits name the card's issuer; 0 if none does."""
+    for low, high, sizes in ISSUERS:
+        n = len(str(low))
+        if len(digits) in sizes and low <= int(digits[:n]) <= high:
+            return n
+    return 0
+
+
 def card(key, value, invert):
     digits = re.sub(r"\D", "", value)
-    if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
+    kept = issuer(digits)
+    if not kept or luhn_digit(digits[:-1]) != digits[-1]:
         return None
-    body = permute_chars(key, "card", digits[:-1], invert)
+    body = digits[:kept] + permute_chars(key, f"card{digits[:kept]}", digits[kept:-1], invert)
     return refill(value, body + luhn_digit(body))
 
 
@@ -127,14 +190,14 @@ def iban(key, value, invert):
 
 
 def ssn(key, value, invert):
-    area, group, serial = (int(x) for x in value.split("-"))
+    area, group, serial = (int(x) for x in re.split("[ -]", value))
     if area in (0, 666) or area >= 900 or not group or not serial:
         return None
     place = area - 1 - (area > 666)
     x = feistel(key, "ssn", (place * 99 + group - 1) * 9999 + serial - 1, 898 * 99 * 9999, invert)
     x, serial = divmod(x, 9999)
     place, group = divmod(x, 99)
-    return f"{place + 1 + (place >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
+    return refill(value, f"{place + 1 + (place >= 665):03d}{group + 1:02d}{serial + 1:04d}")
 
 
 def phone(key, value, invert):
@@ -153,6 +216,14 @@ def phone(key, value, invert):
 
 
 def ip(key, value, invert):
+    if ":" in value:
+        try:
+            ipaddress.IPv6Address(value)
+        except ValueError:
+            return None
+        if value.count(":") < 3 or not re.search("[0-9]", value):
+            return None
+        return permute_chars(key, "ip6", value, invert, (DIGITS, HEX_UPPER, HEX_LOWER))
     parts = [int(x) for x in value.split(".")]
     if max(parts) > 255 or any(len(x) > 1 and x[0] == "0" for x in value.split(".")):
         return None
@@ -204,13 +275,18 @@ def _place(sure: bool) -> dict[int, int]:
 
 def email(key, value, invert):
     local, _, domain = value.rpartition("@")
-    if ".." in local or local.endswith("."):
+    if ".." in local or local.endswith(".") or not any(c.isalnum() for c in local):
         return None
     return f"{permute_chars(key, 'email', local, invert)}@{domain}"
 
 
+MARKED = re.compile("|".join(f"(?:{p})" for p in PREFIXES))
+
+
 def secret(key, value, invert):
-    return f"AKIA{permute_chars(key, 'akia', value[4:], invert)}" if re.fullmatch(r"AKIA[0-9A-Z]{16}", value) else permute_chars(key, "secret", value, invert)
+    head = MARKED.match(value)
+    head = head.group() if head and len(value) >= len(head.group()) + 15 else ""
+    return head + permute_chars(key, f"secret{head}", value[len(head) :], invert)
 
 
 PERMUTE = {"email": email, "secret": secret, "iban": iban, "card": card, "ssn": ssn, "phone": phone, "ip": ip, "date": date}
@@ -234,9 +310,12 @@ def replace(key: bytes, text: str, memo, invert: bool = False) -> tuple[str, lis
     number can by chance be valid together with it; inverting such a text then reads the longer value.
     """
     out, spans, at, since = [], [], 0, 0
-    while m := SCAN.search(text, at):
-        kind = m.lastgroup if m.lastgroup != "value" else "secret"
-        start, end = m.span("value") if m["value"] else m.span()
+    held = tuple(test.search(text) is not None for test in TESTS)
+    scan = scanner(held)
+    while any(held) and (m := scan.search(text, at)):
+        found = m.groupdict()
+        kind = next(k for k in KINDS if found.get(k) is not None)
+        start, end = next((m.span(g) for g in INNER if found.get(g) is not None), m.span())
         ends = [end]
         if kind in RUNS_ON:
             ends += [x.start() for x in SEPARATOR.finditer(text, start, end)][::-1]
@@ -258,8 +337,10 @@ def pseudonymise(docs: DataFrame, key: bytes, keep: list[str], text: str = "text
     (character offsets [start, end) in the original).
 
     A null text stays null with counts of 0; an empty one stays empty. Values that fail validation (wrong check
-    digits, impossible dates, octets above 255) stay as they are, as does every other character. Rows are
-    independent: repeated rows give equal results and an empty table gives an empty one. No shuffle.
+    digits, no issuer's first digits, impossible dates, octets above 255) stay as they are, as does every other
+    character; an address's domain and a token's or card issuer's mark are kept. Values have no longest size: a secret
+    is replaced to its end. A very long text is scanned once, from its beginning to its end. Rows are independent:
+    repeated rows give equal results, null keys are kept, and an empty table gives an empty one. No shuffle.
     """
 
     def make():
@@ -268,12 +349,13 @@ def pseudonymise(docs: DataFrame, key: bytes, keep: list[str], text: str = "text
             return pseudonym(key, kind, value)
 
         may = np.zeros(256, bool)
-        may[[*range(48, 58), ord("@")]] = True
+        may[[*range(48, 58), *b"@=:"]] = True
+
         def work(column):
             texts, counts, places = [], [], []
             for value in column.to_pylist():
                 spans: list = []
-                if value and may[np.frombuffer(value.encode(), np.uint8)].any() or value and "=" in value:
+                if value and may[np.frombuffer(value.encode(), np.uint8)].any():
                     value, spans = replace(key, value, memo)
                 texts.append(value)
                 counts.append([sum(k == kind for k, _, _ in spans) for kind in KINDS] if spans else [0] * len(KINDS))

@@ -212,6 +212,53 @@ def test_values_beside_a_short_token_are_replaced(text, value):
     assert out == text.replace(value, pii.pseudonym(KEY, kind, value))
 
 
+@pytest.mark.parametrize(
+    "text, kind, value",
+    [
+        ("password=" + "a1B2" * 50 + " end", "secret", "a1B2" * 50),
+        ("password: correcthorsebattery", "secret", "correcthorsebattery"),
+        ("db_password=hunter!two", "secret", "hunter!two"),
+        ("API-KEY: 'a" + "b" * 200 + "1'", "secret", "a" + "b" * 200 + "1"),
+        ("use ghp_" + "Ab3" * 12 + " now", "secret", "ghp_" + "Ab3" * 12),
+        ("eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.abc_DEF-123.", "secret", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.abc_DEF-123"),
+        ("x" * 100 + "9@mail.example.com", "email", "x" * 100 + "9@mail.example.com"),
+        ("_jo@a.b.c.d.e.f.g.h.i.j.example", "email", "_jo@a.b.c.d.e.f.g.h.i.j.example"),
+        ("Tel: 2125551234.", "phone", "2125551234"),
+        ("212 555 1234", "phone", "212 555 1234"),
+        ("ssn 123 45 6789", "ssn", "123 45 6789"),
+        ("at 2001:db8::ff00:42:8329 now", "ip", "2001:db8::ff00:42:8329"),
+        ("XX00 4111 1111 1111 1111", "card", "4111 1111 1111 1111"),
+        ("XX00 4111111111111111", "card", "4111111111111111"),
+    ],
+)
+def test_values_of_any_size_and_kind(text, kind, value):
+    out, spans = pii.replace(KEY, text, lambda k, v: pii.pseudonym(KEY, k, v))
+    at = text.index(value)
+    assert spans == [(kind, at, at + len(value))] and value not in out
+    assert len(out) == len(text) and pii.replace(KEY, out, None, True)[0] == text
+
+
+@pytest.mark.parametrize("text", ["at 12:34:56 and 1:2", "std::vector a::b", "7536784127813050", "password: required", "call 911 now", "123 45 678", "the secret: nothing more", "tokens of 12345678"])
+def test_what_only_looks_like_a_value_stays(text):
+    assert pii.replace(KEY, text, lambda k, v: pii.pseudonym(KEY, k, v)) == (text, [])
+
+
+def test_every_character_of_a_long_secret_changes():
+    value = "".join(random.Random(1).choice("abcdefgh01234567") for _ in range(1000))
+    new = pii.pseudonym(KEY, "secret", value)
+    assert all(sum(a != b for a, b in zip(new[k : k + 64], value[k : k + 64], strict=True)) > 40 for k in range(0, 960, 64))
+    assert pii.pseudonym(KEY, "secret", new, True) == value
+
+
+def test_scan_is_linear():
+    import time
+
+    began = time.perf_counter()
+    for text in ("a." * 200_000, "a@" * 100_000, "1 " * 200_000, "password=" * 40_000, "ab:" * 100_000, "A1B2 " * 60_000, "token: " + "z" * 400_000, "+2 22 22 22 " * 30_000, "eyJ" * 100_000):
+        pii.replace(KEY, text, lambda k, v: pii.pseudonym(KEY, k, v))
+    assert time.perf_counter() - began < 60
+
+
 def test_feistel_permutes_every_range():
     for size in (1, 2, 3, 10, 97, 256, 1000):
         got = [pii.feistel(KEY, "t", x, size) for x in range(size)]
