@@ -23,33 +23,70 @@ def sentence(rng, lang, n):
     return " ".join("".join(rng.choice(STEMS[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
 
 
-def greedy_phrases(sample, symbols, block):
-    """Phrases by plain search for the longest prefix that occurs in the sample."""
-    count = 0
-    for a in range(0, len(symbols), block):
-        part, at = symbols[a : a + block], 0
+def greedy_phrases(samples, text):
+    """Phrases by plain search for the longest prefix that occurs in a sample text."""
+    count, at = 0, 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and any(text[at : at + size + 1] in s for s in samples):
+            size += 1
+        at += size
         count += 1
-        while at < len(part):
-            size = 1
-            while at + size < len(part) and part[at : at + size + 1] in sample:
-                size += 1
-            at += size
-            count += at < len(part)
     return count
 
 
+def plain(text):
+    """The normalised text by characters."""
+    out = ""
+    for c in text.lower():
+        out += c if langid.is_letter(c) else "" if not out or out[-1] == " " else " "
+    return out.encode()
+
+
 def test_phrases_match_plain_search():
     rng = random.Random(2)
-    samples = {lang: [sentence(rng, lang, 40)] for lang in STEMS}
+    samples = {lang: [sentence(rng, lang, 40), sentence(rng, lang, 9)] for lang in STEMS}
     parser = langid.build(samples)
-    table = langid._lookup(parser)
-    texts = [sentence(rng, "aa", 30), sentence(rng, "bb", 150), "aaaa", sentence(rng, "cc", 3) + " " + sentence(rng, "aa", 3)]
-    symbols = [np.array(langid.normalised(t, lambda c: table[ord(c)]), np.int32) for t in texts]
-    got = langid.phrases(parser, np.concatenate(symbols), np.cumsum([0, *[len(s) for s in symbols]]))
+    texts = [sentence(rng, "aa", 30), sentence(rng, "bb", 150), "aaaa", "", "1 lor2", sentence(rng, "cc", 3) + " " + sentence(rng, "aa", 300) + "語", "lor" * 2000]
+    data, bounds, _ = langid.normalised([t.lower() for t in texts])
+    got, _ = langid.parse(parser, parser.symbols[data], bounds)
     for k, lang in enumerate(parser.languages):
-        sample = "".join(chr(x) for x in langid.normalised(samples[lang][0], lambda c: table[ord(c)]))
-        for j, s in enumerate(symbols):
-            assert got[k, j] == greedy_phrases(sample, "".join(map(chr, s)), langid.BLOCK)
+        for j, text in enumerate(texts):
+            assert data[bounds[j] : bounds[j + 1]].tobytes() == plain(text)
+            assert got[k, j] == greedy_phrases([plain(s) for s in samples[lang]], plain(text))
+
+
+def test_pieces_of_a_long_text_go_on(monkeypatch):
+    rng = random.Random(4)
+    parser = langid.build({lang: [sentence(rng, lang, 60)] for lang in STEMS})
+    text = " ".join(sentence(rng, "cc", 40) + ", 12 - " for _ in range(20)).lower()
+    whole, chars = langid.costs(parser, [text])
+    for piece in (7, 50, 1000):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        cut, n = langid.costs(parser, [text])
+        assert cut.tolist() == whole.tolist() and n.tolist() == chars.tolist()
+
+
+def test_wide_alphabets_and_long_texts_are_learned(spark):
+    rng = random.Random(3)
+    letters = [chr(0x4E00 + 7 * k) for k in range(900)]
+    more = [chr(0xAC00 + 5 * k) for k in range(900)]
+    wide = lambda a: "".join(rng.choice(a) + rng.choice(["", a[5] + a[9]]) for _ in range(300))
+    rows = [(k, wide(a), lang) for k in range(30) for lang, a in (("zh", letters), ("ko", more))]
+    rows += [(100 + k, "word of a long text " * 8000 + "q" * k, "en") for k in range(3)] + [(200 + k, sentence(rng, "aa", 50), "aa") for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    parser = langid.fit(docs.where("doc_id % 3 <> 0"))
+    assert parser.languages == ["aa", "en", "ko", "zh"]
+    assert all((parser.symbols[np.frombuffer("".join(a).encode(), np.uint8)] > 0).sum() > 2000 for a in (letters, more))
+    got = langid.identify(spark, docs, parser, ["doc_id", "lang"]).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+
+
+def test_many_languages_share_the_cells():
+    rng = random.Random(6)
+    samples = {f"l{k:03d}": [" ".join(f"{chr(97 + k % 26)}{chr(97 + j)}{k}" for j in range(26)) + " " + "".join(rng.choice("abcdefgh") for _ in range(3000))] for k in range(60)}
+    parser = langid.build(samples, most_cells=1 << 20)
+    assert len(parser.languages) == 60 and len(parser.table) < 1 << 21
 
 
 def test_languages_of_held_out_texts(spark):
