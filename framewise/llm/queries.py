@@ -54,8 +54,9 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    directory, archives, index = warc.archive(spark, table(spark, sf_dir, "pages"))
-    return warc.read_archives(directory, archives, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages")
+    directory, archives, index = warc.archive(spark, pages)
+    return warc.find(directory, archives, index, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Archives are written by the executors as gzip members, one for each record. The first index level holds sorted
 lines (reversed-host URL key, place of the record) in compressed blocks, the second a sparse directory with the
-first key and place of each block. A lookup binary-searches the directory, reads one block, binary-searches it,
-and reads only the bytes of the record.
+first key, last key and place of each block, sorted too. A lookup binary-searches the directory, reads the blocks that
+may hold the key, binary-searches each, and reads only the bytes of the records. Lookups of many keys deal out the
+blocks they name, so a block is read once, and the records found, so an archive is read from front to back.
 """
 
 from __future__ import annotations
@@ -22,14 +23,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewise.llm.common import materialise, new_folder
+from framewise.llm.common import by_key, materialise, new_folder, open_folder
 
 #: Index lines in a block, and bytes after which an archive file is closed.
 BLOCK_LINES, ARCHIVE_BYTES = 3000, 256 << 20
+#: Bytes of an archive that one task reads, and directory rows that are held in memory to be searched.
+READ_BYTES, MOST_DIRECTORY = 32 << 20, 1 << 20
 
 LINES = "url_key string, page_id long, url string, archive string, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 FIELDS = [x.split()[0] for x in LINES.split(", ")]
-BLOCKS = "first_key string, last_key string, block_file string, offset long, length long, lines long"
+BLOCKS = "first_key string, last_key string, block_file string, offset long, length long, lines long, bytes long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
@@ -84,12 +87,6 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:size]
 
 
-def _files(folder: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder)
-
-
 def page_of(urn: str) -> int | None:
     found = urn.strip("<>").rpartition(":")[2]
     return None if found == "None" else int(found)
@@ -111,7 +108,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     placed = rows.join(last, "digest", "left").select("page_id", "url", "payload", F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("refers_to"))
 
     def run(batches):
-        system, path = _files(folder)
+        system, path = open_folder(folder)
         system.create_dir(path, recursive=True)
         out, name, at, found = None, "", 0, []
 
@@ -156,7 +153,7 @@ def build_index(lines: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -
     ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches):
-        system, path = _files(folder)
+        system, path = open_folder(folder)
         system.create_dir(path, recursive=True)
         name, out, at, held, told = f"{uuid.uuid4().hex}.cdx.gz", None, 0, [], []
 
@@ -165,7 +162,7 @@ def build_index(lines: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -
             data = gzip.compress("".join(json.dumps(x, separators=(",", ":")) + "\n" for x in held).encode(), 6, mtime=0)
             out = out or system.open_output_stream(f"{path}/{name}", compression=None)
             out.write(data)
-            told.append((held[0][0], held[-1][0], name, at, len(data), len(held)))
+            told.append((held[0][0], held[-1][0], name, at, len(data), len(held), sum(x[5] for x in held)))
             at, held = at + len(data), []
 
         for batch in batches:
@@ -212,46 +209,119 @@ def _rows(system, path: str, lines: list[list]):
         opened.close()
 
 
-def read_archives(directory: DataFrame, archives: str, index: str) -> DataFrame:
-    """Every record of the archives, found through the index: blocks are dealt out, each is read by range."""
-    blocks = directory.select("block_file", "offset", "length")
+def _dealt(lines: DataFrame, directory: DataFrame, archives: str) -> DataFrame:
+    """Records of index lines: stretches of archives are dealt out, each is read from front to back."""
+    size = directory.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // READ_BYTES))
+    lines = lines.withColumn("stretch", F.floor(F.col("offset") / READ_BYTES)).repartition(tasks, "archive", "stretch").sortWithinPartitions("archive", "offset").drop("stretch")
 
     def run(batches):
-        system, path = _files(archives)
-        other, index_path = _files(index)
+        system, path = open_folder(archives)
         for batch in batches:
-            for block in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                lines, rows, held = read_block(other, index_path, block), [], 0
-                for row in _rows(system, path, lines):
-                    rows.append(row)
-                    held += row[2]
-                    if held >= 16 << 20:
-                        yield _batch(rows)
-                        rows, held = [], 0
-                if rows:
+            rows, held = [], 0
+            for row in _rows(system, path, list(zip(*[c.to_pylist() for c in batch.columns], strict=True))):
+                rows.append(row)
+                held += row[2]
+                if held >= 16 << 20:
                     yield _batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _batch(rows)
+
+    return lines.mapInArrow(run, RECORDS)
+
+
+def _lines(rows: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _types(LINES), strict=True)], names=FIELDS)
+
+
+def all_lines(directory: DataFrame, index: str) -> DataFrame:
+    """Every line of the index; its blocks are dealt out."""
+
+    def run(batches):
+        other, index_path = open_folder(index)
+        for batch in batches:
+            for block in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                yield _lines(read_block(other, index_path, block))
+
+    tasks = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return directory.select("block_file", "offset", "length").repartition(tasks).mapInArrow(run, LINES)
+
+
+def read_archives(directory: DataFrame, archives: str, index: str) -> DataFrame:
+    """Every record of the archives."""
+    return _dealt(all_lines(directory, index), directory, archives)
+
+
+class Directory:
+    """The directory's rows in order of their keys, searched by bisection."""
+
+    def __init__(self, directory: DataFrame):
+        found = directory.select("first_key", "last_key", "block_file", "offset", "length").toArrow().to_pylist()
+        found.sort(key=lambda r: (r["first_key"].encode(), r["last_key"].encode()))
+        self.first, self.last = [r["first_key"].encode() for r in found], [r["last_key"].encode() for r in found]
+        self.places = [(r["block_file"], r["offset"], r["length"]) for r in found]
+
+    def blocks(self, key: str) -> range:
+        """Numbers of the blocks that may hold a key; blocks don't overlap but in keys at their ends."""
+        return range(bisect.bisect_left(self.last, key.encode()), bisect.bisect_right(self.first, key.encode()))
+
+
+def within(lines: list[list], key: str) -> list[list]:
+    """The lines of one key in a block, by bisection."""
+    order = lambda x: x[0].encode()
+    return lines[bisect.bisect_left(lines, key.encode(), key=order) : bisect.bisect_right(lines, key.encode(), key=order)]
+
+
+def find(directory: DataFrame, archives: str, index: str, urls: DataFrame, url: str = "url", most: int = MOST_DIRECTORY) -> DataFrame:
+    """Every capture of the URLs in a column (once, however often a URL is asked for).
+
+    Each distinct key is bisected in the directory, which is broadcast while it has at most ``most`` rows (one for
+    some thousand records); the blocks that may hold the key are dealt out, so those of a key with very many captures
+    are too, and the key is bisected in each. With a larger directory all index blocks are read and their lines joined
+    with the keys.
+    """
+    spark = directory.sparkSession
+
+    def keyed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(x) for x in batch.column(0).to_pylist()], pa.string())], names=["url_key"])
+
+    keys = urls.select(F.col(f"`{url}`").cast("string").alias("url")).mapInArrow(keyed, "url_key string").distinct()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if directory.count() > most:
+        return _dealt(all_lines(directory, index).join(keys, "url_key", "left_semi").select(*FIELDS), directory, archives)
+    held = spark.sparkContext.broadcast(Directory(directory))
+
+    def named(batches):
+        for batch in batches:
+            asked = [(n, k) for k in batch.column(0).to_pylist() for n in held.value.blocks(k)]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in asked], pa.int64()), pa.array([k for _, k in asked], pa.string())], names=["block", "url_key"])
+
+    def searched(batches):
+        other, index_path = open_folder(index)
+        for number, (asked,) in by_key(batches, "block", ["url_key"]):
+            lines = read_block(other, index_path, held.value.places[number])
+            found = [x for k in asked.to_pylist() for x in within(lines, k)]
+            if found:
+                yield _lines(found)
 
-    return blocks.repartition(F.col("block_file"), F.col("offset")).mapInArrow(run, RECORDS)
+    dealt = keys.mapInArrow(named, "block long, url_key string").repartition(tasks, "block").sortWithinPartitions("block")
+    return _dealt(dealt.mapInArrow(searched, LINES), directory, archives)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _types(RECORDS), strict=True)], names=[x.split()[0] for x in RECORDS.split(", ")])
 
 
-def lookup(directory: DataFrame, archives: str, index: str, urls: list[str]) -> list[tuple]:
-    """Captures of some URLs. Only the directory rows that may hold a key come to the driver; each block is then
-    searched by bisection and the records are read by range."""
-    keys = sorted({url_key(u) for u in urls})
-    system, path = _files(archives)
-    other, index_path = _files(index)
+def lookup(directory: Directory, archives: str, index: str, urls: list[str]) -> list[tuple]:
+    """Captures of a few URLs, on the caller's machine; ``find`` does it for many."""
+    system, path = open_folder(archives)
+    other, index_path = open_folder(index)
     out = []
-    for key in keys:
-        blocks = directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).select("block_file", "offset", "length").orderBy("first_key", "block_file", "offset").toLocalIterator()
-        for block in blocks:
-            lines = read_block(other, index_path, tuple(block))
-            start = bisect.bisect_left(lines, key, key=lambda x: x[0])
-            end = bisect.bisect_right(lines, key, key=lambda x: x[0])
-            out += list(_rows(system, path, lines[start:end]))
+    for key in sorted({url_key(u) for u in urls}):
+        for number in directory.blocks(key):
+            out += list(_rows(system, path, within(read_block(other, index_path, directory.places[number]), key)))
     return out
 
 

@@ -33,6 +33,12 @@ def test_archives_round_trip(spark, block_lines):
         revisit = page is not None and page < last
         want.append((page, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if revisit else "response", last if revisit else None))
     assert got == sorted(want, key=str)
+    asked = df.union(df)
+    for most in (1 << 20, 0):
+        found = warc.find(directory, archives, index, asked, most=most)
+        assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found.collect()), key=str) == got
+    some = warc.find(directory, archives, index, df.where("page_id = 7 or page_id is null"))
+    assert sorted((r.page_id for r in some.collect()), key=str) == [7, None]
     held = [r for r in warc.read_archives(directory, archives, index).collect() if r.record_type == "response" and r.page_id is not None]
     assert all(bytes(r.payload).decode() == next(h or "" for p, _, h in rows if p == r.page_id) for r in held)
 
@@ -46,9 +52,21 @@ def test_small_payloads_are_never_revisits(spark):
 def test_lookup_by_url(spark):
     _, df = pages(spark)
     directory, archives, index = warc.archive(spark, df, block_lines=2)
-    found = sorted(x[0] for x in warc.lookup(directory, archives, index, ["http://b.example/x?y"]))
-    assert found == [1, 2]
-    assert warc.lookup(directory, archives, index, ["http://nowhere.example/"]) == []
+    held = warc.Directory(directory)
+    assert [x[0] for x in warc.lookup(held, archives, index, ["http://b.example/x?y"])] == [1, 2]
+    assert warc.lookup(held, archives, index, ["http://nowhere.example/"]) == []
+    assert held.first == sorted(held.first) and held.last == sorted(held.last)
+
+
+def test_a_key_with_many_captures_lies_in_many_blocks(spark):
+    rows = [(k, "http://hot.example/" if k % 3 else f"http://c{k}.example/é", "x" * k) for k in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    directory, archives, index = warc.archive(spark, df, block_lines=5)
+    held = warc.Directory(directory)
+    assert len(held.blocks(warc.url_key("http://hot.example/"))) >= 133 // 5
+    assert sorted(r.page_id for r in warc.find(directory, archives, index, df).collect()) == list(range(200))
+    assert sorted(x[0] for x in warc.lookup(held, archives, index, ["http://hot.example/"])) == [k for k in range(200) if k % 3]
+    assert [x[0] for x in warc.lookup(held, archives, index, ["http://c9.example/é"])] == [9]
     keys = [r.first_key for r in directory.orderBy("first_key").collect()]
     assert keys == sorted(keys)
 
@@ -57,6 +75,7 @@ def test_empty_archive(spark):
     _, df = pages(spark)
     directory, archives, index = warc.archive(spark, df.limit(0))
     assert warc.read_archives(directory, archives, index).collect() == []
+    assert warc.find(directory, archives, index, df).collect() == []
 
 
 def test_url_keys_and_broken_records():
