@@ -102,46 +102,57 @@ def average_precision(gt: DataFrame, pred: DataFrame, videos: DataFrame, taus: t
     """All-point interpolated AP of scored predictions at each temporal-IoU threshold (video_id, tau, ap).
 
     Ground truth and predictions are inclusive and compared as half-open. Predictions are taken by score, ties by
-    row_id, and claim the best segment still free, so matching is a fold over the overlapping pairs of a video
-    and threshold; the curve above it is made of windows. Without ground truth AP is null, without predictions 0.
+    row_id, and claim the best segment still free, so matching is one fold over the overlapping pairs of a video,
+    for all thresholds; the curve above it is made of windows. Without ground truth AP is null, without predictions 0.
     """
     ranked = pred.withColumn("_rank", F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("score"), "row_id")))
     told = gt.select(KEY, F.col("start").alias("b_start"), F.col("end").alias("b_end"))
     met = overlapping(ranked.select(KEY, "start", "end", "_rank"), told, KEY)
     shared = overlap(F.col("start"), F.col("end"), F.col("b_start"), F.col("b_end"))
     iou = shared / (F.greatest("end", "b_end") - F.least("start", "b_start") + 1)
-    grid = F.explode(F.array(*[F.lit(t) for t in taus]))
     # Below the lowest threshold a pair can neither match nor keep another from matching.
-    pairs = met.withColumn("iou", iou).where(100 * F.col("iou") >= min(taus)).select(KEY, "_rank", "b_start", "b_end", "iou", grid.alias("tau"))
+    pairs = met.withColumn("iou", iou).where(100 * F.col("iou") >= min(taus)).select(KEY, "_rank", "b_start", "b_end", "iou")
     kind = gt.schema[KEY].dataType.simpleString()
 
     def claim(pdf):
+        import numpy as np
         import pandas as pd
 
-        taken: set = set()
+        pdf = pdf.sort_values(["_rank", "iou", "b_start", "b_end"], ascending=[True, False, True, True])
+        rank, percent = pdf["_rank"].to_numpy(), 100 * pdf["iou"].to_numpy()
+        segment = pdf.groupby(["b_start", "b_end"]).ngroup().to_numpy()
+        edges = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])).tolist()
         hits = []
-        tau = pdf["tau"].iloc[0]
-        for rank, rows in pdf.sort_values(["_rank", "iou", "b_start", "b_end"], ascending=[True, False, True, True]).groupby("_rank", sort=True):
-            for a, b, value in zip(rows["b_start"], rows["b_end"], rows["iou"], strict=True):
-                if (a, b) in taken:
-                    continue
-                if 100 * value >= tau:
-                    taken.add((a, b))
-                    hits.append(rank)
-                break
-        return pd.DataFrame({KEY: pd.Series([pdf[KEY].iloc[0]] * len(hits), dtype=object), "tau": pd.Series([tau] * len(hits), dtype="int32"), "_rank": pd.Series(hits, dtype="int32")})
-
-    hits = pairs.groupBy(KEY, "tau").applyInPandas(claim, f"`{KEY}` {kind}, tau int, _rank int").withColumn("_hit", F.lit(1))
+        for tau in taus:
+            taken = np.zeros(segment.max() + 1, bool)
+            for a, b in zip(edges, [*edges[1:], len(rank)], strict=True):
+                # The best segment that is still free decides, whether or not it reaches the threshold.
+                free = np.flatnonzero(~taken[segment[a:b]])
+                if len(free) and percent[a + free[0]] >= tau:
+                    taken[segment[a + free[0]]] = True
+                    hits.append((tau, rank[a]))
+        out = pd.DataFrame(hits, columns=["tau", "_rank"], dtype="int32")
+        out.insert(0, KEY, pd.Series([pdf[KEY].iloc[0]] * len(out), dtype=object))
+        return out
+
+    grid = F.explode(F.array(*[F.lit(t) for t in taus]))
+    hits = pairs.groupBy(KEY).applyInPandas(claim, f"`{KEY}` {kind}, tau int, _rank int").withColumn("_hit", F.lit(1))
     sizes = gt.groupBy(KEY).agg(F.count("*").alias("_g"))
-    rows = ranked.select(KEY, "_rank", grid.alias("tau")).join(hits, [KEY, "tau", "_rank"], "left").fillna(0, ["_hit"]).join(sizes, KEY)
+    # Only hits carry area, and the precision at a hit needs its rank and how many hits are before it.
     order = Window.partitionBy(KEY, "tau").orderBy("_rank")
-    rows = rows.withColumn("_precision", F.sum("_hit").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.col("_rank"))
-    rows = rows.withColumn("_envelope", F.max("_precision").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    areas = rows.groupBy(KEY, "tau").agg(F.sum(F.col("_hit") * F.col("_envelope") / F.col("_g")).alias("ap"))
+    rows = hits.withColumn("_precision", F.row_number().over(order) / F.col("_rank"))
+    rows = rows.withColumn("_envelope", F.max("_precision").over(order.rowsBetween(0, Window.unboundedFollowing))).join(sizes, KEY)
+    areas = rows.groupBy(KEY, "tau").agg(F.sum(F.col("_envelope") / F.col("_g")).alias("ap"))
     all_ = videos.select(KEY, grid.alias("tau")).join(sizes, KEY, "left").join(areas, [KEY, "tau"], "left")
     return all_.select(KEY, "tau", F.when(F.col("_g").isNotNull(), F.coalesce("ap", F.lit(0.0))).alias("ap"))
 
 
+def map_columns(aps: DataFrame, taus: tuple[int, ...] = MAP_TAUS) -> DataFrame:
+    """One row per video: map_10 ... map_70 and their mean map_avg, null without ground truth."""
+    wide = aps.groupBy(KEY).agg(*[F.max(F.when(F.col("tau") == t, F.col("ap"))).alias(f"map_{t}") for t in taus], F.avg("ap").alias("map_avg"))
+    return wide
+
+
 def mean_average_precision(aps: DataFrame) -> DataFrame:
     """map_avg per video: the mean over thresholds, null without ground truth."""
     return aps.groupBy(KEY).agg(F.avg("ap").alias("map_avg"))
@@ -162,11 +173,18 @@ def _count(condition: Column, name: str) -> Column:
     return F.sum(F.coalesce(condition, F.lit(False)).cast("long")).alias(name)
 
 
-def label_counts(gt: DataFrame, pred: DataFrame, videos: DataFrame, tau: float = LABEL_TAU) -> DataFrame:
+def label_flags(pred: DataFrame) -> DataFrame:
+    """One row: whether any prediction of any video has a direction (_d) and cycles (_c)."""
+    told = lambda c: F.coalesce(F.max(F.col(c).isNotNull()), F.lit(False))
+    return pred.agg(told("direction").alias("_d"), told("cycles").alias("_c"))
+
+
+def label_counts(gt: DataFrame, pred: DataFrame, videos: DataFrame, tau: float = LABEL_TAU, flags: DataFrame | None = None) -> DataFrame:
     """Joint direction and cycle counts of labelled segments per video (start, end, direction, cycles).
 
     A predicted d is true if matched with a ground-truth d, ignored if matched with an unknown direction, else
-    false. Counts of a label that no prediction of the video has are null.
+    false. Counts of a label that no prediction of any video has (``flags``, by default of ``pred``) are null; a video
+    without predictions has counts of 0 and misses all its segments.
     """
     rows = matched_labels(gt, pred, tau)
     matched, same = F.col("b_start").isNotNull(), F.col("direction") == F.col("g_direction")
@@ -174,16 +192,17 @@ def label_counts(gt: DataFrame, pred: DataFrame, videos: DataFrame, tau: float =
     told = rows.groupBy(KEY).agg(
         *[_count((F.col("direction") == d) & same, f"{d.lower()}_tp") for d in DIRECTIONS],
         *[_count((F.col("direction") == d) & (~matched | (F.col("g_direction").isNotNull() & ~same)), f"{d.lower()}_fp") for d in DIRECTIONS],
-        _count(same, "direction_correct"), _count(same.isNotNull(), "direction_matched"), F.max(F.col("direction").isNotNull().cast("int")).alias("_d"),
-        F.sum("cycles").alias("pred_cycles"), F.count(error).alias("cycle_pairs"), F.sum(F.abs(error)).alias("_abs"), F.sum(error * error).alias("_square"), F.sum(error).alias("_error"), F.max(F.col("cycles").isNotNull().cast("int")).alias("_c"),
+        _count(same, "direction_correct"), _count(same.isNotNull(), "direction_matched"),
+        F.sum("cycles").alias("pred_cycles"), F.count(error).alias("cycle_pairs"), F.sum(F.abs(error)).alias("_abs"), F.sum(error * error).alias("_square"), F.sum(error).alias("_error"),
     )
-    truth = gt.groupBy(KEY).agg(*[_count(F.col("direction") == d, f"gt_{d.lower()}_segments") for d in DIRECTIONS], F.sum("cycles").alias("gt_cycles"))
-    out = videos.select(KEY).join(truth, KEY, "left").join(told, KEY, "left").fillna(0, ["gt_cw_segments", "gt_ccw_segments", "gt_cycles", "_d", "_c"])
-    has_d, has_c = F.col("_d") == 1, F.col("_c") == 1
     named = [*[f"{d.lower()}_{k}" for d in DIRECTIONS for k in ("tp", "fp")], "direction_correct", "direction_matched"]
+    turns = ["pred_cycles", "cycle_pairs", "_abs", "_square", "_error"]
+    truth = gt.groupBy(KEY).agg(*[_count(F.col("direction") == d, f"gt_{d.lower()}_segments") for d in DIRECTIONS], F.sum("cycles").alias("gt_cycles"))
+    out = videos.select(KEY).join(truth, KEY, "left").join(told, KEY, "left").fillna(0, ["gt_cw_segments", "gt_ccw_segments", "gt_cycles", *named, *turns])
+    out = out.crossJoin(F.broadcast(label_flags(pred) if flags is None else flags))
     return out.select(
-        KEY, "gt_cw_segments", "gt_ccw_segments", *[F.when(has_d, F.col(c)).alias(c) for c in named], *[F.when(has_d, F.col(f"gt_{d.lower()}_segments") - F.col(f"{d.lower()}_tp")).alias(f"{d.lower()}_fn") for d in DIRECTIONS],
-        "gt_cycles", *[F.when(has_c, F.col(c)).alias(c) for c in ("pred_cycles", "cycle_pairs", "_abs", "_square", "_error")],
+        KEY, "gt_cw_segments", "gt_ccw_segments", *[F.when(F.col("_d"), F.col(c)).alias(c) for c in named], *[F.when(F.col("_d"), F.col(f"gt_{d.lower()}_segments") - F.col(f"{d.lower()}_tp")).alias(f"{d.lower()}_fn") for d in DIRECTIONS],
+        "gt_cycles", *[F.when(F.col("_c"), F.col(c)).alias(c) for c in turns],
     )
 
 

@@ -12,9 +12,11 @@ BLOCK = 1 << 16
 
 
 def spine(videos: DataFrame, video: str = "video_id", count: str = "num_frames") -> DataFrame:
-    """Every frame 0..count-1 of every video."""
-    held = videos.where(F.col(count) > 0)
-    return held.select(video, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count).cast("long") - 1)).alias("frame"))
+    """Every frame 0..count-1 of every video; blocks of frames are dealt out before they become rows."""
+    last = F.col(count).cast("long") - 1
+    blocks = videos.where(F.col(count) > 0).select(video, last.alias("_last"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / BLOCK))).alias("_block"))
+    blocks = blocks.repartition(video, "_block")
+    return blocks.select(video, F.explode(F.sequence(F.col("_block") * BLOCK, F.least("_last", (F.col("_block") + 1) * BLOCK - 1))).alias("frame"))
 
 
 def dense(frames: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

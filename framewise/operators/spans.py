@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewise.functions.exprs import TWO_PI, overlap, ratio
+from framewise.functions.exprs import TWO_PI, finite, overlap, ratio
 from framewise.operators.frames import BLOCK, windowed
 
 
@@ -83,8 +83,8 @@ def majority(frames: DataFrame, keys: list[str], positive: Column, frame: str =
 
 
 def scores_to_spans(frames: DataFrame, keys: list[str], score: str = "score", threshold: float = 0.5, min_length: int = 0, vote: bool = True, frame: str = "frame") -> DataFrame:
-    """Threshold, majority vote, runs and minimum length over a dense spine; an unknown score is negative."""
-    hot = F.coalesce(~F.isnan(score) & (F.col(score) >= threshold), F.lit(False))
+    """Threshold, majority vote, runs and minimum length over a dense spine; a score that is not finite counts as 0."""
+    hot = F.coalesce(finite(F.col(score)), F.lit(0.0)) >= threshold
     if vote:
         frames, hot = majority(frames, keys, hot, frame), F.col("vote") >= 0.5
     return positive_runs(frames, keys, hot, frame).where(F.col("end") - F.col("start") + 1 >= min_length)
@@ -94,18 +94,23 @@ def greedy_spans(frames: DataFrame, key: str, score: str = "score", frame: str =
     """Windows longer than ``seconds`` with enough positive frames, grown greedily.
 
     Candidate windows and their counts are found by windows over blocks; only candidates go on to the fold that
-    decides in order whether a candidate extends the last span, is skipped, or opens a new one. Scores must be
-    finite and frames consecutive from 0.
+    decides in order whether a candidate extends the last span, is skipped, or opens a new one. Raises when read if
+    a score is not finite or a video's frames are not consecutive.
     """
+    if not (math.isfinite(fps) and fps > 0 and seconds >= 0 and 0 < fraction <= 1 and 0 <= threshold <= 1):
+        raise ValueError("fps, seconds, fraction or threshold is out of range")
     length = math.floor(seconds * fps) + 1
     need = math.ceil(fraction * length)
-    marked = frames.select(key, frame, F.when(~F.isnan(score), F.col(score) >= threshold).cast("int").alias("_p"))
+    marked = frames.select(key, frame, (finite(F.col(score)) >= threshold).cast("int").alias("_p"))
     marked = marked.withColumn("_p", F.coalesce("_p", F.raise_error(F.lit("scores must be finite")).cast("int")))
-    block = Window.partitionBy(key, "_b").orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)
-    marked = marked.withColumn("_b", F.floor(F.col(frame) / BLOCK)).withColumn("_in", F.sum("_p").over(block))
-    totals = marked.groupBy(key, "_b").agg(F.sum("_p").alias("_n"))
-    earlier = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(key, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    ordered = Window.partitionBy(key, "_b").orderBy(frame)
+    marked = marked.withColumn("_b", F.floor(F.col(frame) / BLOCK)).withColumn("_in", F.sum("_p").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = marked.withColumn("_gap", F.coalesce(F.col(frame) - F.lag(frame).over(ordered) != 1, F.lit(False)))
+    totals = marked.groupBy(key, "_b").agg(F.sum("_p").alias("_n"), F.max("_gap").alias("_gap"), F.min(frame).alias("_low"), F.max(frame).alias("_high"))
+    blocks = Window.partitionBy(key).orderBy("_b")
+    apart = F.col("_gap") | F.coalesce(F.col("_low") - F.lag("_high").over(blocks) != 1, F.lit(False))
+    before = F.coalesce(F.sum("_n").over(blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(key, "_b", F.when(apart, F.raise_error(F.lit("frames must be consecutive")).cast("long")).otherwise(before).alias("_before"))
     summed = marked.join(totals, [key, "_b"]).select(key, frame, "_p", (F.col("_before") + F.col("_in")).alias("upto"))
     ahead = lambda w: {"_last": F.lead(frame, length - 1).over(w), "upto_end": F.lead("upto", length - 1).over(w)}
     found = windowed(summed, [key], frame, 0, length - 1, ahead)
@@ -145,10 +150,29 @@ def frame_labels(frames: DataFrame, spans: DataFrame, keys: list[str]) -> DataFr
     return frames.join(inside, [*keys, "frame"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
+#: Frames of a block within which intervals are compared.
+NEAR = 1 << 12
+
+
 def overlapping(a: DataFrame, b: DataFrame, key: str, tolerance: int = 0, how: str = "inner") -> DataFrame:
-    """Rows of ``a`` (start, end) and ``b`` (b_start, b_end) that overlap, up to ``tolerance`` frames apart."""
-    near = (F.col("b_start") <= F.col("end") + tolerance) & (F.col("b_end") >= F.col("start") - tolerance)
-    return a.join(b.withColumnRenamed(key, "_key"), (F.col(key) == F.col("_key")) & near, how).drop("_key")
+    """Rows of ``a`` (start, end) and ``b`` (b_start, b_end) that overlap, up to ``tolerance`` frames apart.
+
+    Both sides are joined on the video and the blocks of frames they reach into, so intervals far apart never meet
+    and one video is many keys; a pair counts in the first block that both reach. With ``how`` "left", rows of ``a``
+    that meet none are kept with nulls.
+    """
+    block = lambda c: F.floor(c / NEAR)
+    reach = lambda low, high: F.explode(F.when(low <= high, F.sequence(block(low), block(high))))
+    low, high = F.col("start") - tolerance, F.col("end") + tolerance
+    left = a.withColumn("_block", reach(low, high))
+    right = b.withColumnRenamed(key, "_key").withColumn("_near", reach(F.col("b_start"), F.col("b_end")))
+    near = (F.col("b_start") <= high) & (F.col("b_end") >= low)
+    once = F.col("_block") == F.greatest(block(low), block(F.col("b_start")))
+    met = left.join(right, (F.col(key) == F.col("_key")) & (F.col("_block") == F.col("_near")) & near & once).drop("_block", "_near", "_key")
+    if how == "inner":
+        return met
+    alone = a.join(met.select(*a.columns).distinct(), a.columns, "left_anti")
+    return met.unionByName(alone, allowMissingColumns=True)
 
 
 def rotation_steps(series: DataFrame, keys: list[str], dist_max: float = 160.0, fps: float = 30.0, window: int = 120) -> DataFrame:

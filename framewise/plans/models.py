@@ -72,6 +72,18 @@ def boosted(df: DataFrame, features: list[str], label: str = "label", trees: int
     return model
 
 
+def learner(kind: str, quick: bool = False):
+    """The fit behind a variant's learner name: a balanced linear model, or boosted trees with missing indicators in
+    place of a route for missing values, with the depth, rate and number of trees of either kind."""
+    if kind == "logreg":
+        return lambda df, features: logistic(df, features, balanced=True, indicators=False, iterations=400)
+    if kind == "hgb":
+        return lambda df, features: boosted(df, features, trees=40 if quick else 150, depth=4, rate=0.1, leaf=40)
+    if kind == "xgb":
+        return lambda df, features: boosted(df, features, trees=80 if quick else 300, depth=4, rate=0.08, leaf=5)
+    raise ValueError(f"no learner is named {kind}")
+
+
 def predict(model: Model, df: DataFrame) -> DataFrame:
     """The rows with ``score``, the probability of class 1."""
     out = model.fitted.transform(_inputs(df, model))

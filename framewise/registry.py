@@ -755,15 +755,17 @@ def grid_search_best(spark, sf):
     from framewise.plans import experiments
 
     scores = frames.zero_filled(frames.spine(A.interval_videos(spark)), spans.frames_of(spans.merge_spans(A.pred(spark, sf), ["video_id"]), ["video_id"]).withColumn("score", F.lit(0.8)), KEYS)
-    return experiments.choose_postprocess(scores, A.gt(spark, sf), A.interval_videos(spark), thresholds=(0.3, 0.5, 0.9), lengths=(0, 3)).select("threshold", "min_length", R("f1_50", alias="f1_50"), R("frame_f1", alias="frame_f1"))
+    return experiments.choose_postprocess(scores, A.gt(spark, sf), A.interval_videos(spark)).select("threshold", "min_length", R("f1_50", alias="f1_50"), R("frame_f1", alias="frame_f1"))
 
 
 @query()
 def lovo_rule(spark, sf):
     from framewise.plans import experiments
 
-    held = A.scored(spark, sf).select("video_id", F.col("doc_id").alias("frame"), F.col("f_mod").alias("turns"), F.col("score").alias("close"), "label")
-    return experiments.rule_folds(held, (0.2, 0.5), (5.0, 15.0)).select("test_video", "close_min", "turns_min", R("test_f1", alias="test_f1"))
+    told = spans.frames_of(A.pred(spark, sf), ["video_id"], ("score", "cycles"))
+    held = told.groupBy("video_id", "frame").agg(F.max("score").alias("close"), F.max("cycles").alias("turns"))
+    out = experiments.rule_folds(held, A.gt(spark, sf), A.interval_videos(spark))
+    return out.select("test_video", "close_min", "turns_min", "min_length", *[R(c, alias=c) for c in ("train_f1_50", "train_frame_f1", "f1_50", "frame_f1")])
 
 
 @query()

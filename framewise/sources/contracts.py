@@ -12,7 +12,8 @@ from framewise.functions.exprs import finite
 
 #: The metadata that a table must carry.
 TRACK_METADATA = {"fps": "30.0", "y_axis": "down", "coordinate_space": "raw_pixels", "units": "pixels"}
-PAIR_METADATA = {**TRACK_METADATA, "gap_tolerance_s": "0.2", "table": "pairs"}
+PAIR_METADATA = {**TRACK_METADATA, "pair_ordering": "TrackUID_1 < TrackUID_2", "gap_tolerance_s": "0.2", "table": "pairs"}
+#: The keys of a row.
 TRACK_KEYS = ["project_id", "day_label", "FrameNum", "TrackUID"]
 PAIR_KEYS = ["project_id", "day_label", "FrameNum", "TrackUID_1", "TrackUID_2"]
 #: Prefixes of metadata that writers add on their own.
@@ -34,15 +35,8 @@ def file_metadata(spark: SparkSession, path: str) -> dict[str, str]:
 
 
 def mismatches(found: Mapping[str, str], wanted: Mapping[str, str]) -> list[str]:
-    """All ways in which metadata differ from what is wanted; numbers compare as numbers."""
-
-    def same(a, b):
-        try:
-            return float(a) == float(b)
-        except (TypeError, ValueError):
-            return a == b
-
-    return [f"{k}: {found.get(k)!r} instead of {v!r}" for k, v in wanted.items() if not same(found.get(k), v)]
+    """All ways in which metadata differ from what is wanted; values compare as texts."""
+    return [f"{k}: {found.get(k)!r} instead of {v!r}" for k, v in wanted.items() if found.get(k) != v]
 
 
 def assert_contract(spark: SparkSession, path: str, kind: str) -> None:
@@ -100,14 +94,16 @@ VIDEO_COLUMNS = ("day_label", "VideoID", "video_id", "video")
 
 
 def scoped(df: DataFrame, start: int, end: int, video: str, project: str | None = None, columns: Sequence[str] | None = None, frame: str = "FrameNum") -> DataFrame:
-    """Frames [start, end] of one video (and project), with the columns that exist; the filters reach the scan."""
-    held = df.where(F.col(frame).between(start, end))
+    """Frames [start, end] of one video (and project), with the columns that exist, the video's and project's
+    among them; a start below 0 is 0. The filters reach the scan."""
+    held = df.where(F.col(frame).between(max(0, start), end))
     name = next((c for c in VIDEO_COLUMNS if c in df.columns), None)
+    own = [c for c in (name, "project_id") if c in df.columns]
     if name:
         held = held.where(F.col(name) == video)
     if project is not None and "project_id" in df.columns:
         held = held.where(F.col("project_id") == project)
-    return held if columns is None else held.select(*[c for c in columns if c in df.columns])
+    return held if columns is None else held.select(*dict.fromkeys([*own, *[c for c in columns if c in df.columns]]))
 
 
 def score_chunk(df: DataFrame, start: int, end: int, frame: str = "FrameNum", score: str = "circling_score") -> DataFrame:

@@ -8,18 +8,18 @@ import posixpath
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framewise.functions.exprs import direction, hms, letters_only, seconds_of, truth, whole_frame
+from framewise.functions.exprs import direction, hms, seconds_of, truth, whole_frame
 from framewise.operators.spans import merge_spans
 
 #: Spellings of the columns after all but letters is dropped.
 NAMES = {
-    "video_id": ("videoid", "projectid", "video"),
-    "start": ("startframe", "start"),
-    "end": ("endframe", "stopframe", "end"),
-    "behavior": ("primarylabelbehavior", "behavior"),
+    "video_id": ("videoid",),
+    "start": ("startframe",),
+    "end": ("endframe",),
+    "behavior": ("behavior", "primarylabelbehavior"),
     "direction": ("rotationdirection", "direction"),
     "cycles": ("noofturnscircles", "cycles", "turns"),
-    "score": ("score", "confidence"),
+    "score": ("score",),
 }
 
 
@@ -45,26 +45,29 @@ def _checked(wrong: Column, message: str, value: Column) -> Column:
 
 
 def read_intervals(spark: SparkSession, path: str, labels: bool = False, scores: bool = False, behavior: str | None = None) -> DataFrame:
-    """video_id, row_id, start, end [, direction, cycles] [, score] of an interval file.
+    """video_id, row_id, start, end [, direction, cycles] [, score] of an interval file; see ``intervals_of``."""
+    return intervals_of(read_csv(spark, path), path, labels, scores, behavior)
 
-    Headers match by letters only. With ``behavior`` only its rows stay, compared without case and outer spaces;
-    rows that name none go. Frames must be whole and in order; a negative count of cycles, an unknown direction
-    or a score that is not finite raises when the row is read.
+
+def intervals_of(df: DataFrame, path: str = "intervals", labels: bool = False, scores: bool = False, behavior: str | None = None, row_id: str | None = None) -> DataFrame:
+    """video_id, row_id, start, end [, direction, cycles] [, score] of a table of texts.
+
+    Headers match by letters only. With ``behavior`` and a column of behaviours only its rows stay, compared without
+    case and outer spaces; rows that name none go. Frames must be whole and in order; a negative count of cycles, an
+    unknown direction or a score that is not finite raises when the row is read. A column of labels or scores that the
+    table lacks is null.
     """
-    df = read_csv(spark, path)
     found = {k: column_of(df, k) for k in NAMES}
     missing = [k for k in ("video_id", "start", "end") if found[k] is None]
     if missing:
         raise ValueError(f"{path} has no column for {', '.join(missing)}")
     text = lambda k: F.col(f"`{found[k]}`")
-    if behavior is not None:
-        if found["behavior"] is None:
-            raise ValueError(f"{path} has no behaviour column")
+    if behavior is not None and found["behavior"] is not None:
         df = df.where(F.lower(F.trim(text("behavior"))) == behavior.lower())
-    df = df.withColumn("_row", F.monotonically_increasing_id())
+    df = df.withColumn("_row", F.col(row_id) if row_id else F.monotonically_increasing_id())
     start, end = whole_frame(text("start")), whole_frame(text("end"))
-    broken = start.isNull() | end.isNull() | (end < start)
-    columns = [F.trim(text("video_id")).alias("video_id"), F.col("_row").alias("row_id"), start.alias("start"), F.when(broken, F.raise_error(F.lit(f"{path}: an interval ends before it starts")).cast("long")).otherwise(end).alias("end")]
+    broken = start.isNull() | end.isNull() | (start < 0) | (end < start)
+    columns = [F.trim(text("video_id")).alias("video_id"), F.col("_row").alias("row_id"), start.alias("start"), F.when(broken, F.raise_error(F.lit(f"{path}: not an interval")).cast("long")).otherwise(end).alias("end")]
     if labels:
         told = direction(text("direction")) if found["direction"] else F.lit(None).cast("string")
         if found["direction"]:
@@ -76,21 +79,42 @@ def read_intervals(spark: SparkSession, path: str, labels: bool = False, scores:
             turns = _checked(turns < 0, f"{path}: negative cycles", turns)
         columns += [told.alias("direction"), turns.alias("cycles")]
     if scores:
-        if found["score"] is None:
-            raise ValueError(f"{path} has no score column")
-        value = F.expr(f"try_cast(`{found['score']}` as double)")
+        value = F.expr(f"try_cast(`{found['score']}` as double)") if found["score"] else F.lit(None).cast("double")
         bad = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
-        columns.append(_checked(bad, f"{path}: a score is not finite", value).alias("score"))
+        columns.append((_checked(bad, f"{path}: a score is not finite", value) if found["score"] else value).alias("score"))
     return df.select(*columns)
 
 
+def interval_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list[str]:
+    """Paths of a folder's files in order of their names, on any store that Spark reads."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(f"{folder.rstrip('/')}/{pattern}")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(str(f.getPath()) for f in found or [])
+
+
+def read_folder(spark: SparkSession, folder: str, pattern: str = "*.csv", **how) -> tuple[DataFrame, list[str]]:
+    """All intervals of a folder's files, and the videos that the files' names declare, also those without rows."""
+    paths = interval_files(spark, folder, pattern)
+    if not paths:
+        raise FileNotFoundError(f"{folder}: no interval files")
+    return read_many(spark, paths, **how), [video_of_name(p) for p in paths]
+
+
+def read_annotations(spark: SparkSession, folder: str, behavior: str = "circling", pattern: str = "circling_annotations_vid*.csv") -> DataFrame:
+    """Labelled events of one behaviour from every annotation file of a folder."""
+    return read_folder(spark, folder, pattern, labels=True, behavior=behavior)[0]
+
+
 def read_many(spark: SparkSession, paths: list[str], **how) -> DataFrame:
-    """Union of interval files; raises if there are none."""
+    """Union of interval files; raises if there are none. Rows are numbered in the order of the paths, then in that of
+    their file."""
     if not paths:
         raise ValueError("no interval files")
     out = None
-    for path in paths:
+    for k, path in enumerate(paths):
         one = read_intervals(spark, path, **how).withColumn("source", F.lit(posixpath.basename(path)))
+        one = one.withColumn("row_id", F.lit(k << 44) + F.col("row_id"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -101,9 +125,19 @@ def video_of_name(path: str) -> str:
 
 
 def usable_spans(df: DataFrame, video: str = "VideoID", start: str = "StartFrame", end: str = "EndFrame") -> DataFrame:
-    """Spans that are circling and should be used, merged per video."""
-    held = df.where(truth(F.col("Circling")) & truth(F.col("ShouldUse")))
-    rows = held.select(F.col(video).alias("video_id"), whole_frame(F.col(start)).alias("start"), whole_frame(F.col(end)).alias("end"))
+    """Spans of the behaviour, if the table names any, that are flagged circling and to be used, as far as it has
+    these flags (true or 1); merged per video. A frame that is not whole, or an end before its start, raises."""
+    plain = {"".join(c.lower().split()): c for c in reversed(df.columns)}
+    column = lambda name: F.col(f"`{plain.get(name.lower(), name)}`")
+    told = next((plain[n] for n in ("behavior", "primarylabel/behavior") if n in plain), None)
+    if told:
+        df = df.where(F.lower(F.trim(F.col(f"`{told}`").cast("string"))) == "circling")
+    for flag in ("Circling", "ShouldUse"):
+        if flag in df.columns:
+            df = df.where(F.lower(F.col(flag).cast("string")).isin("true", "1"))
+    a, b = whole_frame(column(start)), whole_frame(column(end))
+    broken = a.isNull() | b.isNull() | (a < 0) | (b < a)
+    rows = df.select(column(video).cast("string").alias("video_id"), a.alias("start"), F.when(broken, F.raise_error(F.lit("not an interval")).cast("long")).otherwise(b).alias("end"))
     return merge_spans(rows, ["video_id"])
 
 
@@ -143,14 +177,45 @@ def viewer_intervals(df: DataFrame, video: str, fps: float = 30.0, kind: str = "
     return held.select(a.alias("start"), wrong.alias("end"), status.alias("status"), notes.alias("notes"))
 
 
-def export_events(events: DataFrame, video: str, fps: float = 30.0, behavior: str = "circling") -> DataFrame:
-    """Events under their export names, numbered from 0 by start."""
-    nth = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("start")) - 1
-    return events.select(
-        F.lit(video).alias("VideoID"), F.format_string(f"{video}_evt_%04d", nth).alias("EventID"), hms(F.col("start") / fps).alias("StartTime"), hms(F.col("end") / fps).alias("EndTime"), F.col("start").alias("StartFrame"), F.col("end").alias("EndFrame"), F.lit(behavior).alias("Behavior")
+def _numbered(df: DataFrame, keys: list[str], order: list[str], block: int = 1 << 16) -> DataFrame:
+    """Adds ``nth``, a number from 0 in the order of frames, by counts of blocks, so that no task sorts all rows."""
+    part = df.withColumn("_b", F.floor(F.col(order[0]) / block))
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
+    sizes = part.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*keys, "_b", before.alias("_before"))
+    return part.withColumn("_in", F.row_number().over(inside) - 1).join(sizes, [*keys, "_b"]).withColumn("nth", F.col("_in") + F.col("_before")).drop("_b", "_in", "_before")
+
+
+def export_events(events: DataFrame, video: str | None = None, fps: float = 30.0, behavior: str = "circling", ids: tuple[str, ...] = ("t1", "t2"), confidence: str = "mean_score") -> DataFrame:
+    """Events under their export names, numbered from 0 by start: VideoID, EventID, StartTime, EndTime, Behavior,
+    FishIDs (ids joined by a bar) and Confidence/Notes."""
+    rows = _numbered(events.withColumn("_video", F.lit(video or "")), ["_video"], ["start", "end", *ids])
+    name = F.format_string(f"{video}_evt_%04d" if video else "evt_%04d", "nth")
+    return rows.select(
+        F.col("_video").alias("VideoID"), name.alias("EventID"), hms(F.col("start") / fps).alias("StartTime"), hms(F.col("end") / fps).alias("EndTime"), F.lit(behavior).alias("Behavior"),
+        F.concat_ws("|", *[F.col(c).cast("string") for c in ids]).alias("FishIDs"), F.col(confidence).alias("Confidence/Notes"),
+    )
+
+
+def export_detections(found: DataFrame, labels: DataFrame, fps: float = 30.0, detector: str = "rule_v2") -> DataFrame:
+    """Labelled spans of the rule detector under their export names, with seconds and whether a label overlaps."""
+    told = labels.select(F.col("video_id").alias("_key"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    met = found.join(told, (F.col("video_id") == F.col("_key")) & (F.col("b_start") <= F.col("end")) & (F.col("b_end") >= F.col("start")), "left_semi")
+    rows = _numbered(found, ["video_id"], ["start", "end"]).join(met.select("video_id", "start", "end", F.lit(True).alias("_met")).distinct(), ["video_id", "start", "end"], "left")
+    seconds = lambda c: F.bround(c / F.lit(float(fps)), 2)
+    return rows.select(
+        F.col("video_id").alias("VideoID"), F.concat(F.regexp_replace("video_id", "_vid$", ""), F.format_string("-R%03d", F.col("nth") + 1)).alias("EventID"), F.col("start").alias("StartFrame"), F.col("end").alias("EndFrame"),
+        seconds(F.col("start")).alias("start_s"), seconds(F.col("end")).alias("end_s"), seconds(F.col("end") - F.col("start") + 1).alias("duration_s"), F.col("direction").alias("Direction"), F.bround("cycles", 2).alias("Cycles"),
+        F.lit(detector).alias("detector_name"), F.coalesce("_met", F.lit(False)).alias("overlaps_label"),
     )
 
 
+def export_scored(found: DataFrame, score: str = "span_score") -> DataFrame:
+    """Scored spans under their export names."""
+    return found.select(F.col("video_id").alias("VideoID"), F.col("start").alias("StartFrame"), F.col("end").alias("EndFrame"), F.col(score).alias("Score"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """One CSV file with a header, also for an empty table. Spans of a video are few."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
@@ -160,7 +225,3 @@ def write_features(df: DataFrame, path: str, parameters: dict, partition_by: tup
     """Feature table as Parquet, partitioned by video, with its parameters beside it as JSON."""
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     df.sparkSession.createDataFrame([(json.dumps(parameters, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.parameters")
-
-
-def header_letters(column: Column) -> Column:
-    return letters_only(column)

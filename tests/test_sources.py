@@ -39,8 +39,8 @@ def test_viewer_intervals(spark):
     df = spark.createDataFrame([("v", "0:00:01", "0:00:02.5", "good", "x"), ("w", "0:00:01", "0:00:02", "", "")], "VideoID string, StartTime string, EndTime string, Notes string, Other string")
     row = intervals.viewer_intervals(df, "v", verified=True).collect()
     assert [(r.start, r.end, r.status, r.notes) for r in row] == [(30, 74, "circling", "Notes: good")]
-    used = spark.createDataFrame([("v", "1", "5", "true", "1.0"), ("v", "7", "9", "yes", "no"), ("v", "9", "9", "no", "yes")], "VideoID string, StartFrame string, EndFrame string, ShouldUse string, Circling string")
-    assert [r.status for r in intervals.viewer_intervals(used, "v").orderBy("start").collect()] == ["circling", "non-circling", "unknown"]
+    used = spark.createDataFrame([("v", "1", "5", "true", "1"), ("v", "6", "6", "true", "1.0"), ("v", "7", "9", "yes", "no"), ("v", "9", "9", "no", "yes")], "VideoID string, StartFrame string, EndFrame string, ShouldUse string, Circling string")
+    assert [r.status for r in intervals.viewer_intervals(used, "v").orderBy("start").collect()] == ["circling", "circling", "non-circling", "unknown"]
     assert [(r.start, r.end) for r in intervals.usable_spans(used).collect()] == [(1, 5)]
 
 

@@ -86,10 +86,46 @@ def test_majority_vote_spans(spark, gap, count):
     assert spans.scores_to_spans(df, ["video_id"]).count() == count
 
 
-@pytest.mark.parametrize(("hot", "count"), [(range(300), 0), (range(301), 1), ([*range(271), *range(271 + 30, 301 + 30)], 1)])
-def test_greedy_window_is_strictly_longer(spark, hot, count):
-    found = spans.greedy_spans(ones(spark, hot, 400), "video_id", seconds=10.0).collect()
-    assert len(found) >= count if count else not found
+@pytest.mark.parametrize(("hot", "n", "count"), [(range(300), 300, 0), (range(301), 301, 1), (range(301), 400, 1), (range(270), 600, 0), ([*range(271), *range(271 + 30, 301 + 30)], 400, 1)])
+def test_greedy_window_is_strictly_longer(spark, hot, n, count):
+    assert spans.greedy_spans(ones(spark, hot, n), "video_id", seconds=10.0).count() == count
+
+
+@pytest.mark.parametrize("bad", [float("inf"), float("-inf"), float("nan"), None])
+def test_scores_that_are_not_finite(spark, bad):
+    df = table(spark, [("v", f, bad) for f in range(200)], "video_id string, frame long, score double")
+    assert spans.scores_to_spans(df, ["video_id"], vote=False).count() == 0
+    with pytest.raises(Exception, match="finite"):
+        spans.greedy_spans(df, "video_id").collect()
+
+
+def test_greedy_wants_consecutive_frames(spark, monkeypatch):
+    rows = lambda frames: table(spark, [("v", f, 1.0) for f in frames], "video_id string, frame long, score double")
+    for block in (spans.BLOCK, 100):
+        monkeypatch.setattr(spans, "BLOCK", block)
+        assert spans.greedy_spans(rows(range(50, 350)), "video_id").count() == 1
+        for frames_ in ([*range(100), *range(101, 300)], [*range(99), *range(100, 300)], [*range(200), 10]):
+            with pytest.raises(Exception, match="consecutive"):
+                spans.greedy_spans(rows(frames_), "video_id").collect()
+    with pytest.raises(ValueError):
+        spans.greedy_spans(rows(range(9)), "video_id", fraction=0.0)
+
+
+@pytest.mark.parametrize("near", [1 << 12, 7, 1])
+@pytest.mark.parametrize("tolerance", [0, 5])
+def test_overlaps_match_brute_force(spark, monkeypatch, near, tolerance):
+    import random
+
+    monkeypatch.setattr(spans, "NEAR", near)
+    rng = random.Random(near)
+    side = lambda: [(rng.choice("vw"), s, s + rng.randint(0, 25)) for s in rng.sample(range(120), 25)]
+    a, b = side(), side()
+    left, right = table(spark, a, "video_id string, start long, end long"), table(spark, b, "video_id string, b_start long, b_end long")
+    met = sorted((*x, *y[1:]) for x in a for y in b if x[0] == y[0] and y[1] <= x[2] + tolerance and y[2] >= x[1] - tolerance)
+    assert sorted(tuple(r) for r in spans.overlapping(left, right, "video_id", tolerance).select("video_id", "start", "end", "b_start", "b_end").collect()) == met
+    alone = [(*x, None, None) for x in a if not any(m[:3] == x for m in met)]
+    got = [tuple(r) for r in spans.overlapping(left, right, "video_id", tolerance, "left").select("video_id", "start", "end", "b_start", "b_end").collect()]
+    assert sorted(got, key=str) == sorted(met + alone, key=str)
 
 
 def test_greedy_extends_one_span(spark):
