@@ -170,6 +170,7 @@ def run_variant(variant: Variant, rows: DataFrame, features: list[str], gt: Data
 
     if variant.learner == "rule":
         best = rule_folds(rows, gt, videos).withColumnRenamed("test_video", "video_id")
+        best = rows.sparkSession.createDataFrame(best.collect(), best.schema)  # a row for each video
         hot = dense(spine(videos), rows.select("video_id", "frame", "close", "turns"), ["video_id", "frame"]).join(F.broadcast(best), "video_id")
         score = F.coalesce((F.col("close") >= F.col("close_min")) & (F.abs("turns") >= F.col("turns_min")), F.lit(False)).cast("double")
         full = hot.select("video_id", "frame", score.alias("score"))
@@ -180,6 +181,7 @@ def run_variant(variant: Variant, rows: DataFrame, features: list[str], gt: Data
         for _, test in folds(sorted(r[0] for r in videos.select("video_id").collect())):
             one = run_fold(rows, features, models.learner(variant.learner, quick), models.predict, test, gt, videos)
             found = one if found is None else found.unionByName(one)
+    found = found.cache()  # the metrics read the few spans several times
     if sink:
         out = export_scored(found)
         out.repartition("VideoID").withColumn("video_id", F.col("VideoID")).write.mode("overwrite").option("header", True).partitionBy("video_id").csv(sink)
