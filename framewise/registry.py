@@ -64,7 +64,7 @@ def frame_self_pairs(spark, sf):
 @query(f"WITH {CLOSEST}, {A.SPINE} SELECT s.video_id, s.frame, t1, t2, {r('dist')} AS dist FROM spine s LEFT JOIN best b ON s.video_id = b.video_id AND s.frame = b.frame")
 def spine_reindex(spark, sf):
     best = frames.closest_pair(A.pairs(spark, sf), KEYS)
-    return frames.dense(frames.spine(A.videos(spark)), best, KEYS).select(*KEYS, "t1", "t2", R("dist", alias="dist"))
+    return frames.dense(frames.spine(A.videos(spark, sf)), best, KEYS).select(*KEYS, "t1", "t2", R("dist", alias="dist"))
 
 
 SERIES = CLOSEST + ", " + A.SPINE + """, dense AS (
@@ -75,7 +75,7 @@ series AS (SELECT video_id, frame, dist, coalesce(mrate, 0) AS rate, same_pair,
 
 
 def _series(spark, sf):
-    return framefeat.closest_series(A.pairs(spark, sf), A.videos(spark))
+    return framefeat.closest_series(A.pairs(spark, sf), A.videos(spark, sf))
 
 
 @query(f"WITH {SERIES} SELECT video_id, frame, {r('dist')} AS dist, {r('rate')} AS rate, same_pair, {r('dist_rate', 3)} AS dist_rate, {r('rate_rate', 3)} AS rate_rate FROM series")
@@ -129,7 +129,7 @@ AGGS = A.TRACKS + ", " + A.SPINE + ", agg AS (SELECT video_id, frame, CAST(count
 
 def _track_aggs(spark, sf):
     agg = A.tracks(spark, sf).groupBy(*KEYS).agg(F.count("*").cast("double").alias("track_count"), F.avg("speed").alias("speed_mean"), F.max("speed").alias("speed_max"))
-    return frames.dense(frames.spine(A.videos(spark)), agg, KEYS).fillna(0.0, ["track_count"])
+    return frames.dense(frames.spine(A.videos(spark, sf)), agg, KEYS).fillna(0.0, ["track_count"])
 
 
 @query(f"WITH {AGGS} SELECT video_id, frame, track_count, {r('speed_mean')} AS speed_mean, speed_max FROM d")
@@ -407,7 +407,7 @@ lab AS (SELECT video_id, row_id, CASE WHEN sum(cws) * 2 >= sum(n) THEN 'CW' ELSE
 
 @query(f"WITH {LABELS} SELECT vi.video_id, vi.row_id, direction, {r('coalesce(cycles, 0)')} AS cycles FROM vi LEFT JOIN lab USING (video_id, row_id)")
 def interval_labels(spark, sf):
-    held = A.videos(spark).crossJoin(spark.range(16)).select("video_id", (F.col("id") * 45).alias("row_id"), (F.col("id") * 45).alias("start"), (F.col("id") * 45 + 10 + F.col("id") * 7 % 60).alias("end"))
+    held = A.videos(spark, sf).crossJoin(spark.range(16)).select("video_id", (F.col("id") * 45).alias("row_id"), (F.col("id") * 45).alias("start"), (F.col("id") * 45 + 10 + F.col("id") * 7 % 60).alias("end"))
     steps = spans.rotation_steps(_series(spark, sf), ["video_id"], dist_max=1500.0)
     return spans.rotation_labels(held, steps, "video_id").select("video_id", "row_id", "direction", R("cycles", alias="cycles"))
 

@@ -1,7 +1,8 @@
 """Tracking-shaped views of the star-schema test tables, each with the same definition in SQL.
 
-``events`` become tracks (8 ids on 30-minute frames, two videos), pairs of tracks of a frame, and intervals: every
-``error`` event is a labelled interval and every ``click`` event a predicted one on 10-minute frames of ten videos.
+``events`` become tracks (8 ids on 30-minute frames, two videos for every 10,000 events), pairs of tracks of a frame, and
+intervals: every ``error`` event is a labelled interval and every ``click`` event a predicted one on 10-minute frames of
+ten videos.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from framewise.operators.frames import self_pairs
 #: 2024-01-01 in 30-minute and in 10-minute frames since the epoch.
 FIRST_HALF_HOUR, FIRST_TEN_MINUTES = 946704, 2840112
 FRAMES_PER_VIDEO, INTERVAL_FRAMES, INTERVAL_VIDEOS = 720, 4320, 10
+#: Events of one group of tracks; the number of groups, and so of videos, grows with the table.
+GROUP_EVENTS = 10_000
 FLOOR = [(20.0, 100.0), (1200.0, 50.0), (1250.0, 3000.0), (600.0, 4200.0), (40.0, 2500.0)]
 
 
@@ -28,29 +31,35 @@ def _micros():
     return F.unix_micros(F.col("ts").cast("timestamp"))
 
 
+def groups(spark: SparkSession, sf_dir: str) -> int:
+    return max(1, table(spark, sf_dir, "events").count() // GROUP_EVENTS)
+
+
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """video_id, frame, track, x, y, body, heading, speed, bend, missing, sex: one row per track and frame, from the event
     with the largest id."""
+    group = ((F.col("event_id") % groups(spark, sf_dir)) * 2).cast("long")
     slot = (F.floor(_micros() / 1_800_000_000) - FIRST_HALF_HOUR).cast("long")
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "value", "props", slot.alias("slot"), (F.col("user_id") % 8).alias("track"))
-    last = Window.partitionBy("slot", "track").orderBy(F.desc("event_id"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "value", "props", slot.alias("slot"), group.alias("first_video"), (F.col("user_id") % 8).alias("track"))
+    last = Window.partitionBy("slot", "first_video", "track").orderBy(F.desc("event_id"))
     rows = rows.withColumn("_nth", F.row_number().over(last)).where("_nth = 1")
     k = F.get_json_object("props", "$.k").cast("long")
     return rows.select(
-        F.concat(F.lit("v"), F.floor(F.col("slot") / FRAMES_PER_VIDEO).cast("string")).alias("video_id"), (F.col("slot") % FRAMES_PER_VIDEO).alias("frame"), "track",
+        F.concat(F.lit("v"), (F.col("first_video") + F.floor(F.col("slot") / FRAMES_PER_VIDEO)).cast("string")).alias("video_id"), (F.col("slot") % FRAMES_PER_VIDEO).alias("frame"), "track",
         (k * 13).cast("double").alias("x"), (F.col("value") * 10).alias("y"), (100 + F.col("user_id") % 50).cast("double").alias("body"),
         ((F.col("event_id") * 7 % 628).cast("double") / F.lit(100.0) - F.lit(3.0)).alias("heading"), ((F.col("event_id") % 17).cast("double") / F.lit(4.0)).alias("speed"), ((F.col("event_id") % 11).cast("double") / F.lit(8.0) - F.lit(0.5)).alias("bend"),
         (F.col("event_id") % 4).alias("missing"), (F.col("user_id") % 2).alias("sex"),
     )
 
 
+GROUPS = f"(SELECT greatest(1, count(*) // {GROUP_EVENTS}) FROM events)"
 TRACKS = f"""
 tracks AS (
-  SELECT 'v' || CAST(slot // {FRAMES_PER_VIDEO} AS VARCHAR) AS video_id, slot % {FRAMES_PER_VIDEO} AS frame, track, CAST(k * 13 AS DOUBLE) AS x, value * 10 AS y,
+  SELECT 'v' || CAST(first_video + slot // {FRAMES_PER_VIDEO} AS VARCHAR) AS video_id, slot % {FRAMES_PER_VIDEO} AS frame, track, CAST(k * 13 AS DOUBLE) AS x, value * 10 AS y,
     CAST(100 + user_id % 50 AS DOUBLE) AS body, CAST(event_id * 7 % 628 AS DOUBLE) / 100.0::DOUBLE - 3.0::DOUBLE AS heading,
     CAST(event_id % 17 AS DOUBLE) / 4.0::DOUBLE AS speed, CAST(event_id % 11 AS DOUBLE) / 8.0::DOUBLE - 0.5::DOUBLE AS bend, event_id % 4 AS missing, user_id % 2 AS sex
-  FROM (SELECT event_id, user_id, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, epoch_us(ts) // 1800000000 - {FIRST_HALF_HOUR} AS slot, user_id % 8 AS track,
-      row_number() OVER (PARTITION BY epoch_us(ts) // 1800000000, user_id % 8 ORDER BY event_id DESC) AS nth FROM events) WHERE nth = 1)"""
+  FROM (SELECT event_id, user_id, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, epoch_us(ts) // 1800000000 - {FIRST_HALF_HOUR} AS slot, user_id % 8 AS track, event_id % g * 2 AS first_video,
+      row_number() OVER (PARTITION BY epoch_us(ts) // 1800000000, event_id % g, user_id % 8 ORDER BY event_id DESC) AS nth FROM events, (SELECT {GROUPS} AS g)) WHERE nth = 1)"""
 
 WRAP = "(({0}) + pi() - 2 * pi() * floor((({0}) + pi()) / (2 * pi())) - pi())"
 
@@ -86,11 +95,11 @@ pairs AS (
   SELECT *, CAST(frame - lag(frame) OVER w AS DOUBLE) AS dt, (orbital - lag(orbital) OVER w) * 4.0::DOUBLE AS rate FROM pairs1 WINDOW w AS (PARTITION BY video_id, t1, t2, pair_episode_id ORDER BY frame))"""
 
 
-def videos(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("v0", FRAMES_PER_VIDEO), ("v1", FRAMES_PER_VIDEO)], "video_id string, num_frames long")
+def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(2 * groups(spark, sf_dir)).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("video_id"), F.lit(FRAMES_PER_VIDEO).cast("long").alias("num_frames"))
 
 
-VIDEOS = f"videos AS (SELECT * FROM (VALUES ('v0', {FRAMES_PER_VIDEO}), ('v1', {FRAMES_PER_VIDEO})) AS t(video_id, num_frames))"
+VIDEOS = f"videos AS (SELECT 'v' || CAST(i AS VARCHAR) AS video_id, {FRAMES_PER_VIDEO} AS num_frames FROM (SELECT unnest(range(0, 2 * {GROUPS})) AS i))"
 SPINE = VIDEOS + ", spine AS (SELECT video_id, unnest(range(0, num_frames)) AS frame FROM videos)"
 
 
