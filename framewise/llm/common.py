@@ -1,13 +1,14 @@
 """Shared pieces of the training-data operators: shared storage, byte-level scanning, hashing.
 
 Everything that must be visible to more than one machine is written below the folder that the
-session names in ``spark.checkpoint.dir``; nothing is ever written to a machine-local folder.
+session names in ``spark.checkpoint.dir``; on a cluster nothing is ever written to a machine-local folder.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -34,13 +35,18 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; there is no fallback to a local one."""
+    """The folder that driver and executors share, as the session names it. Where none is named, one is set: a
+    temporary folder if the session runs on this machine alone, else a folder of the warehouse, which is shared too."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        set_by_context = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not set_by_context.isDefined():
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = set_by_context.get()
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if named.isDefined():
+            found = named.get()
+        elif re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            found = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+        else:
+            found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 

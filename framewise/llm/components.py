@@ -98,17 +98,21 @@ class Sets:
         return np.array([self.root(k) for k in range(len(self.parent))], np.int64)
 
 
-def block_pairs(rows: DataFrame, key: str, node: str, most: int) -> DataFrame:
+def block_pairs(rows: DataFrame, key: str, node: str, most: int, star: bool = False) -> DataFrame:
     """``rows`` with block_a and block_b so that any two rows of a key meet in exactly one (key, block_a, block_b)
     where they are in different blocks or, for one block, in (b, b); keys of up to ``most`` rows stay whole.
 
     A larger key is cut into blocks by a hash of the node, each row goes to the pairs of its own block with every
     block. The column ``own`` names the row's block. The large keys are written first, so that their join needs
-    no shuffle by the key while they are few, and one that can be split when they aren't.
+    no shuffle by the key while they are few, and one that can be split when they aren't. With ``star`` a block meets
+    the first one only: in a group whose members are mostly alike that finds one component without a quadratic step.
     """
     sizes = rows.groupBy(key).count().where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("_blocks"))
     sizes = materialise(sizes, "sizes")
     cut = rows.join(sizes, key, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     cut = cut.withColumn("own", F.pmod(F.xxhash64(node), F.col("_blocks")).cast("int"))
-    cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    others = F.sequence(F.lit(0), F.col("_blocks") - 1)
+    if star:
+        others = F.when(F.col("own") > 0, F.array(F.lit(0))).when(F.col("_blocks") > 1, F.sequence(F.lit(1), F.col("_blocks") - 1)).otherwise(others)
+    cut = cut.withColumn("_other", F.explode(others))
     return cut.withColumns({"block_a": F.least("own", "_other"), "block_b": F.greatest("own", "_other")}).drop("_blocks", "_other")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewise.llm.common import FOLD, MIX_1, MIX_2, NOT_SPACE, SpanHash, Texts, add_columns, byte_values, materialise, mix64
+from framewise.llm.common import FOLD, MIX_1, MIX_2, NOT_SPACE, Blocks, Texts, add_columns, materialise, mix64, span_keys
 from framewise.llm.components import Sets, block_pairs, components, groups
 
 SHINGLE = 5
@@ -24,13 +24,13 @@ SHINGLE = 5
 #: with at most CHUNKS * (ERRORS + 1) - 1 = 15 differing symbols meet; a pair with a similarity of 0.85 differs
 #: in 7.2 symbols on average and fails to meet with a probability of 6e-6.
 SYMBOLS, SYMBOL_BITS, CHUNKS, ERRORS = 48, 16, 8, 1
-#: Members of a bucket above which it is cut into blocks.
-BLOCK = 4096
-VALUES = byte_values(6)[FOLD]
+#: Members of a bucket above which it is cut into blocks: where every block meets the first one, and every other.
+STAR, BLOCK = 512, 2048
 _STEP = np.cumprod(np.full(16, MIX_1 | np.uint64(1), np.uint64), dtype=np.uint64)
 _TURN = mix64(np.arange(1, 4096, dtype=np.uint64) * MIX_2) | np.uint64(1)
 
-FEATURES = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("signature", T.BinaryType())])
+NAME = ["name_a", "name_b"]
+FEATURES = T.StructType([T.StructField("n_shingles", T.LongType()), *[T.StructField(c, T.LongType()) for c in NAME], T.StructField("signature", T.BinaryType())])
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
@@ -38,7 +38,7 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     a row of fewer words has its whole sequence as one, a row without words none."""
     texts = Texts(column)
     start, end, first = texts.words(NOT_SPACE)
-    word = SpanHash(texts.data, VALUES).of(start, end)
+    word = span_keys(FOLD[texts.data], start, end)
     n = len(word)
     whole = np.zeros(max(0, n - size + 1), np.uint64)
     for j in range(size if len(whole) else 0):
@@ -55,9 +55,13 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def identity(shingles: np.ndarray) -> int:
-    """A 64-bit name of a set: equal sets have equal names."""
-    return int(mix64(mix64(shingles * MIX_1).sum(keepdims=True)).view(np.int64)[0])
+def names(sets: list[np.ndarray]) -> list[pa.Array]:
+    """128 bits that name each set: equal sets, and no others, have equal names; null for an empty set."""
+    out = []
+    for seed in (MIX_1, MIX_2):
+        found = [int(mix64(mix64((s ^ seed) * seed).sum(keepdims=True) + seed).view(np.int64)[0]) if len(s) else None for s in sets]
+        out.append(pa.array(found, pa.int64()))
+    return out
 
 
 def signatures(sets: list[np.ndarray], symbols: int = SYMBOLS) -> np.ndarray:
@@ -131,10 +135,10 @@ def link(sets: list[np.ndarray], linked: Sets, percent: int) -> None:
                 return
 
 
-def _verified(members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+def _verified(members: DataFrame, sets: DataFrame, percent: int, block: int, star: bool = False) -> DataFrame:
     """Edges (node, root) among ``members`` (bucket, node, part): sets of one bucket meet in one task, and each
     set that is connected with another there gets one edge."""
-    dealt = block_pairs(members, "bucket", "node", block).join(sets, "node")
+    dealt = block_pairs(members, "bucket", "node", block, star).join(sets, "node")
     order = ["bucket", "block_a", "block_b"]
 
     def run(batches):
@@ -156,30 +160,35 @@ def _verified(members: DataFrame, sets: DataFrame, percent: int, block: int) ->
     return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, block: int = BLOCK, star: int = STAR) -> DataFrame:
     """One row per row of ``docs``: ``key``, n_shingles, component_id and kept.
 
     Rows are linked if 100 * shared >= ``percent`` * union of their full shingle sets; component_id is the
     smallest key reachable, kept whether it is the row's own. Null, empty and wordless texts have no shingles,
-    link with nothing and are their own component; equal sets are one class, whatever their number, and are
-    compared once. A row with a null key takes part with kept false; rows that repeat a key are rows of their
-    own. An empty table gives an empty result.
-
-    Two rounds of full comparison: in the first each set goes to its largest bucket only, which settles most
-    groups; in the second all buckets that still hold several components. No pairs are ever listed.
+    link with nothing and are their own component; equal sets (by 128 bits over all shingles) are one class, whatever
+    their number, and are compared once. Keys are 64-bit integers; a row with a null key takes part with kept false;
+    rows that repeat a key are rows of their own. A very long text is one row with one large set. Other columns are not
+    looked at. An empty table gives an empty result.
+
+    Two rounds of full comparison: in the first each set goes to its largest bucket only, where blocks meet the first
+    one, which settles most groups; in the second all buckets that still hold several components, in all pairs of
+    blocks. No pairs are ever listed.
     """
 
     def make():
         def work(column):
             sets = shingle_sets(column)
             rows = iter(signatures(sets))
-            return [pa.array([len(s) for s in sets], pa.int64()), pa.array([identity(s) if len(s) else None for s in sets], pa.int64()), pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary())]
+            return [pa.array([len(s) for s in sets], pa.int64()), *names(sets), pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary())]
 
         return work
 
-    source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("_text"))
-    rows = materialise(add_columns(source, "_text", ["key"], FEATURES, make), "signatures")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("key").alias("least"), F.first("signature").alias("signature"))
+    source = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("_text"))
+    # A class goes by the least address of its rows, which no other class has.
+    rows = Blocks(add_columns(source, "_text", ["key"], FEATURES, make), "signatures").frame
+    uid = F.shiftleft(F.col("file").cast("long"), 40) + F.col("row")
+    nodes = rows.where("name_a is not null").groupBy(*NAME).agg(F.min("key").alias("least"), F.min(uid).alias("node"), F.first("signature").alias("signature"))
+    nodes = materialise(nodes, "nodes")
 
     def spread(batches):
         for batch in batches:
@@ -193,21 +202,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     buckets = materialise(sizes.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "buckets")
     members = materialise(entries.join(buckets, "bucket").select("bucket", "node", "size"), "members")
 
-    wanted = members.select("node").distinct()
-    texts = nodes.select("node", "least").join(wanted, "node", "left_semi").select("least").distinct()
-    held = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("_text"))
+    wanted = nodes.select("node", "least", *NAME).join(members.select("node").distinct(), "node", "left_semi")
+    texts = wanted.select("least").distinct()
+    held = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("_text"))
     held = held.join(texts, F.col("key").eqNullSafe(F.col("least")), "left_semi")
 
     def full(column):
         sets = shingle_sets(column)
-        return [pa.array([identity(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+        return [*names(sets), pa.array([s.tobytes() for s in sets], pa.binary())]
 
-    kind = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", T.BinaryType())])
-    found = add_columns(held, "_text", [], kind, lambda: full).where("node is not null")
-    sets = materialise(found.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    kind = T.StructType([*[T.StructField(c, T.LongType()) for c in NAME], T.StructField("shingles", T.BinaryType())])
+    found = add_columns(held, "_text", [], kind, lambda: full).where("name_a is not null")
+    sets = materialise(found.join(wanted.select("node", *NAME), NAME).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
     largest = members.groupBy("node").agg(F.max(F.struct("size", "bucket")).alias("m")).select("node", F.col("m.bucket").alias("bucket"))
-    first = materialise(_verified(largest.withColumn("part", F.col("node")), sets, percent, block), "links")
+    first = materialise(_verified(largest.withColumn("part", F.col("node")), sets, percent, star, True), "links")
     parts = materialise(components(first), "parts")
     open_ = members.join(parts, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("part"))
     unsettled = open_.groupBy("bucket").agg(F.min("part").alias("l"), F.max("part").alias("h")).where("l <> h").select("bucket")
@@ -219,8 +228,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     linked = materialise(nodes.select("node", "least").join(roots, "node"), "linked")
     of_root = materialise(linked.groupBy("root").agg(F.min("least").alias("component_id")), "of-root")
     linked = linked.join(of_root, "root").select("node", "component_id")
-    placed = nodes.select("node", "least").join(linked, "node", "left")
-    placed = materialise(placed.select("node", F.coalesce("component_id", "least").alias("component_id")), "placed")
-    out = rows.select("key", "n_shingles", "node").join(placed, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component_id"))
+    placed = nodes.select("node", "least", *NAME).join(linked, "node", "left")
+    placed = materialise(placed.select(*NAME, F.coalesce("component_id", "least").alias("component_id")), "placed")
+    out = rows.select("key", "n_shingles", *NAME).join(placed, NAME, "left")
+    component = F.when(F.col("name_a").isNull(), F.col("key")).otherwise(F.col("component_id"))
     return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, one for each component of near-duplicates: that with the smallest key, a null key last,
+    the first of several such rows. Rows without words are all kept. Decisions are about rows, so repeated keys and
+    null keys are no exception; all columns stay, whatever their names."""
+    blocks = Blocks(docs.select(F.struct("*").alias("_doc")), "rows").frame
+    blocks = blocks.select("_doc", (F.shiftleft(F.col("file").cast("long"), 40) + F.col("row")).alias("_uid"))
+    classes = near_duplicates(blocks.select("_uid", F.col("_doc").getField(text).alias("_text")), "_uid", "_text", percent)
+    keys = blocks.select("_uid", F.col("_doc").getField(key).alias("_key")).join(classes.select("_uid", "component_id"), "_uid")
+    first = keys.groupBy("component_id").agg(F.min(F.struct(F.col("_key").isNull().alias("n"), F.col("_key").alias("k"), F.col("_uid").alias("u"))).alias("m"))
+    gone = keys.join(materialise(first.select(F.col("component_id"), F.col("m.u").alias("_kept")), "kept"), "component_id").where("_uid <> _kept").select("_uid")
+    left = blocks.join(materialise(gone, "gone"), "_uid", "left_anti")
+    return left.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])

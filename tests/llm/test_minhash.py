@@ -50,7 +50,7 @@ def corpus(seed):
 def test_matches_brute_force(spark):
     rows = corpus(3)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumn("node", F.lit(0)).withColumn("size", F.lit("x"))
-    got = minhash.near_duplicates(docs, block=16).collect()
+    got = minhash.near_duplicates(docs, block=16, star=6).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(rows)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
@@ -63,6 +63,26 @@ def test_repeated_rows_nulls_and_empty_table(spark):
     assert minhash.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_one_row_of_each_stays(spark):
+    text, other = " ".join(f"w{k}" for k in range(60)), " ".join(f"x{k}" for k in range(60))
+    rows = [(5, text), (3, text + " more"), (3, text + " more"), (None, text), (None, other), (None, other), (3, "quite another text"), (8, None), (8, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("file", F.lit("f")).withColumn("a.b", F.lit(1)).withColumn("component_id", F.lit(2))
+    kept = minhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(3, text + " more"), (None, other), (3, "quite another text"), (8, None), (8, None), (9, "")], key=str)
+    assert minhash.one_of_each(docs.limit(0)).collect() == []
+
+
+def test_long_words_that_fool_sums_of_powers_differ():
+    bits = "0"
+    while len(bits) < 2048:
+        bits += "".join("1" if b == "0" else "0" for b in bits)
+    a, b = bits, "".join("1" if x == "0" else "0" for x in bits)
+    words = lambda x: x.replace("0", "p").replace("1", "q")
+    one, two = minhash.shingle_sets(pa.array([words(a), words(b)]))
+    assert one[0] != two[0]
+
+
 def test_signatures_within_the_distance_always_meet():
     rng = np.random.RandomState(5)
     distance = minhash.CHUNKS * (minhash.ERRORS + 1) - 1
