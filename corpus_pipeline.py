@@ -26,10 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near-duplicates (a similarity of 0.8 or more) the document with the smallest id;
-    rows without an id stay."""
-    gone = minhash.near_duplicates(docs, percent=SIMILAR).where("doc_id is not null and not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each component of near-duplicates (a similarity of 0.8 or more): that with the smallest id, a
+    null id last. Null, empty and wordless texts all stay, as do different texts under one id."""
+    return minhash.one_of_each(docs, percent=SIMILAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
