@@ -116,3 +116,19 @@ def block_pairs(rows: DataFrame, key: str, node: str, most: int, star: bool = Fa
         others = F.when(F.col("own") > 0, F.array(F.lit(0))).when(F.col("_blocks") > 1, F.sequence(F.lit(1), F.col("_blocks") - 1)).otherwise(others)
     cut = cut.withColumn("_other", F.explode(others))
     return cut.withColumns({"block_a": F.least("own", "_other"), "block_b": F.greatest("own", "_other")}).drop("_blocks", "_other")
+
+
+def unsettled_pairs(rows: DataFrame, key: str, node: str, part: str, most: int) -> DataFrame:
+    """``rows`` with block_a and block_b so that any two rows of a key with different ``part`` meet in exactly one (key,
+    block_a, block_b). Rows of a large key's largest part, which are settled among themselves, meet only the others, so
+    the work on a group that is mostly one component follows its size times the rest, not its square."""
+    counts = rows.groupBy(key, part).count()
+    sizes = counts.groupBy(key).agg(F.sum("count").alias("_all"), F.max(F.struct("count", part)).alias("_m")).where(F.col("_all") > most)
+    rest, whole = F.greatest(F.lit(1), F.ceil((F.col("_all") - F.col("_m")["count"]) / most)), F.ceil(F.col("_m")["count"] / most)
+    sizes = materialise(sizes.select(key, F.col("_m")[part].alias("_large"), rest.cast("int").alias("_rest"), whole.cast("int").alias("_whole")), "sizes")
+    cut = rows.join(sizes, key, "left")
+    one, large, hashed = F.col("_rest").isNull(), F.col(part) == F.col("_large"), F.xxhash64(node)
+    own = F.when(one, 0).when(large, F.col("_rest") + F.pmod(hashed, F.col("_whole"))).otherwise(F.pmod(hashed, F.col("_rest"))).cast("int")
+    last = F.when(one, 0).when(large, F.col("_rest") - 1).otherwise(F.col("_rest") + F.col("_whole") - 1)
+    cut = cut.withColumn("own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    return cut.withColumns({"block_a": F.least("own", "_other"), "block_b": F.greatest("own", "_other")}).drop("_large", "_rest", "_whole", "_other")

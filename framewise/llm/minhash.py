@@ -17,15 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewise.llm.common import FOLD, MIX_1, MIX_2, NOT_SPACE, Blocks, Texts, add_columns, materialise, mix64, span_keys
-from framewise.llm.components import Sets, block_pairs, components, groups
+from framewise.llm.components import Sets, block_pairs, components, groups, unsettled_pairs
 
 SHINGLE = 5
 #: Symbols of a signature, bits of a symbol, chunks, and errors allowed inside a chunk. All pairs of signatures
 #: with at most CHUNKS * (ERRORS + 1) - 1 = 15 differing symbols meet; a pair with a similarity of 0.85 differs
 #: in 7.2 symbols on average and fails to meet with a probability of 6e-6.
 SYMBOLS, SYMBOL_BITS, CHUNKS, ERRORS = 48, 16, 8, 1
-#: Members of a bucket above which it is cut into blocks: where every block meets the first one, and every other.
-STAR, BLOCK = 512, 2048
+#: Members of a bucket above which it is cut into blocks: in the first round and in the second.
+STAR, BLOCK = 512, 1024
 _STEP = np.cumprod(np.full(16, MIX_1 | np.uint64(1), np.uint64), dtype=np.uint64)
 _TURN = mix64(np.arange(1, 4096, dtype=np.uint64) * MIX_2) | np.uint64(1)
 
@@ -138,7 +138,8 @@ def link(sets: list[np.ndarray], linked: Sets, percent: int) -> None:
 def _verified(members: DataFrame, sets: DataFrame, percent: int, block: int, star: bool = False) -> DataFrame:
     """Edges (node, root) among ``members`` (bucket, node, part): sets of one bucket meet in one task, and each
     set that is connected with another there gets one edge."""
-    dealt = block_pairs(members, "bucket", "node", block, star).join(sets, "node")
+    dealt = block_pairs(members, "bucket", "node", block, True) if star else unsettled_pairs(members, "bucket", "node", "part", block)
+    dealt = dealt.join(sets, "node")
     order = ["bucket", "block_a", "block_b"]
 
     def run(batches):
@@ -171,8 +172,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     looked at. An empty table gives an empty result.
 
     Two rounds of full comparison: in the first each set goes to its largest bucket only, where blocks meet the first
-    one, which settles most groups; in the second all buckets that still hold several components, in all pairs of
-    blocks. No pairs are ever listed.
+    one, which settles most groups; in the second all buckets that still hold several components, of which a large
+    bucket's largest meets only the rest. No pairs are ever listed.
     """
 
     def make():

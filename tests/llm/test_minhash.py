@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from framewise.llm import minhash
-from framewise.llm.components import Sets, components
+from framewise.llm.components import Sets, components, unsettled_pairs
 
 
 def brute_sets(text):
@@ -63,6 +63,22 @@ def test_repeated_rows_nulls_and_empty_table(spark):
     assert minhash.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_rows_of_different_parts_meet_once(spark):
+    rng = random.Random(6)
+    rows = [(key, n, rng.choice([1, 1, 1, 1, 2, 3])) for key, size in ((1, 90), (2, 5), (3, 40)) for n in range(size)]
+    cut = unsettled_pairs(spark.createDataFrame(rows, "bucket long, node long, part long"), "bucket", "node", "part", 16)
+    tasks = {}
+    for r in cut.collect():
+        tasks.setdefault((r.bucket, r.block_a, r.block_b), []).append((r.node, r.part))
+    assert max(map(len, tasks.values())) < 60
+    for key in (1, 2, 3):
+        own = [(n, p) for k, n, p in rows if k == key]
+        for a in own:
+            for b in own:
+                if a[0] < b[0] and a[1] != b[1]:
+                    assert any(a in t and b in t for (k, _, _), t in tasks.items() if k == key)
+
+
 def test_one_row_of_each_stays(spark):
     text, other = " ".join(f"w{k}" for k in range(60)), " ".join(f"x{k}" for k in range(60))
     rows = [(5, text), (3, text + " more"), (3, text + " more"), (None, text), (None, other), (None, other), (3, "quite another text"), (8, None), (8, None), (9, "")]
