@@ -143,10 +143,31 @@ def test_estimates_are_unbiased_and_bounded():
     error = ((x @ q.T) * signs).sum(axis=1) / factor - (x * y).sum(axis=1)
     bound = vectors.EPSILON * np.sqrt(1 - factor**2) / factor / np.sqrt(63)
     assert abs(error.mean()) < 0.02 and (np.abs(error) <= bound).all()
-    i, j, exact = vectors.linked_pairs(x, x, 0.98)
+    codes = vectors.encode(x)
+    i, j, exact = vectors.linked_pairs(codes, codes, x, x, 0.98)
     assert (i == j).all() and len(i) == 300 and exact < 300 * 30
 
 
+@pytest.mark.parametrize("dim", [1, 3, 64, 70, 200])
+def test_stored_codes_estimate_inner_products(dim):
+    rng = np.random.RandomState(dim)
+    x = vectors.unit(rng.standard_normal((200, dim)))
+    y = vectors.unit(x + rng.choice([0.02, 0.2, 1.0], (200, 1)) * rng.standard_normal((200, dim)))
+    wanted = x @ y.T
+    for cosine in (0.5, 0.9, 0.98):
+        found = {p for i, j in vectors.doubtful(vectors.encode(x), vectors.encode(y), dim, cosine) for p in zip(i.tolist(), j.tolist(), strict=True)}
+        assert found >= set(zip(*[a.tolist() for a in np.nonzero(wanted >= cosine)], strict=True))
+    if dim >= 64:
+        assert len(found) < 200 * 60
+
+
+def test_extreme_norms_link(spark):
+    base = [1.0, 2.0, -3.0, 0.5]
+    rows = [(k, [x * scale for x in base], 1) for k, scale in enumerate((1e200, 1e-200, 1.0, 1e-300, 1e307))]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert [(r.n_links, r.component_id) for r in got] == [(4, 0)] * 5
+
+
 # -- packing ----------------------------------------------------------------------------------------------------
 
 
