@@ -58,3 +58,18 @@ FROM v JOIN r ON r.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id GROUP BY v.vec_id,
 """
 
 SQL = {"op3_decontamination": DECONTAMINATION, "op6_minhash": MINHASH, "op7_warc": WARC, "op8_embeddings": EMBEDDINGS}
+
+#: A row for every 100-byte string: texts are cut into parts of 1,000 starts, as hexadecimal digits.
+SQL["op5_repeated_passages"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+c AS (SELECT doc_id, n, i, substr(h, 2000 * i + 1, 2198) AS part FROM d, unnest(range(0, (n - 100) // 1000 + 1)) t(i) WHERE n >= 100),
+w AS (SELECT doc_id, 1000 * i + j AS p, substr(part, 2 * j + 1, 200) AS k FROM c, unnest(range(0, least(1000, n - 99 - 1000 * i))) t(j)),
+r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS nth FROM w),
+g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM r WHERE nth > 1),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g) GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM s),
+o AS (SELECT doc_id, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS head, max(b) AS last, count(*) AS n_spans, sum(b - a) AS n_removed FROM k JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN o ON o.doc_id = d.doc_id
+"""
