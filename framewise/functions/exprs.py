@@ -108,6 +108,20 @@ def hms(seconds: Column) -> Column:
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long"), s % 60)
 
 
+def stamp(frame: Column, fps: float = 30.0) -> Column:
+    """The time of a frame as HH:MM:SS.mmm; halves of a millisecond round to even."""
+    ms = F.bround(frame.cast("double") / F.lit(fps) * 1000).cast("long")
+    return F.format_string("%s.%03d", hms(F.floor(ms / 1000)), ms % 1000)
+
+
+def buffered(start: Column, end: Column, buffer: Column, count: Column) -> Column:
+    """(start, end) of a span with ``buffer`` frames more on both sides, clipped to the video; raises if the span isn't
+    inside it or the buffer is negative."""
+    sound = (start >= 0) & (start <= end) & (end < count) & (buffer >= 0)
+    low = F.when(sound, F.greatest(F.lit(0).cast("long"), start - buffer)).otherwise(F.raise_error(F.lit("invalid span or buffer")).cast("long"))
+    return F.struct(low.alias("start"), F.least(count - 1, end + buffer).alias("end"))
+
+
 def seconds_of(text: Column) -> Column:
     """h:m:s, m:s or s, with a fraction, as seconds."""
     parts = F.reverse(F.split(F.trim(text), ":"))

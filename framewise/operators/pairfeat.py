@@ -209,6 +209,7 @@ def add_qc(df: DataFrame, points: Sequence[str]) -> DataFrame:
 def violations(features: DataFrame) -> DataFrame:
     """Counts of rows that break what must hold for every feature row."""
     near = lambda a, b: F.abs(a - b) > 1e-6 * F.greatest(F.lit(1.0), F.abs(b))
+    scaled = F.col("centroid_distance_px") / mean_known(positive(F.col("body_length_px_1")), positive(F.col("body_length_px_2")))
     rules = {
         "pair_order": F.col("TrackUID_1") >= F.col("TrackUID_2"),
         "speed_mean": near(F.col("speed_mean_bl_s"), (F.col("speed_bl_s_1") + F.col("speed_bl_s_2")) / 2),
@@ -216,13 +217,41 @@ def violations(features: DataFrame) -> DataFrame:
         "proximity": F.col("proximity") != (F.col("centroid_distance_bl") <= NEAR_BL),
         "facing": F.col("mutual_facing") & ~(F.col("facing_1") & F.col("facing_2")),
         "coverage": (F.col("w1s_coverage") < 0) | (F.col("w1s_coverage") > 1),
+        "body_lengths": F.abs(F.col("centroid_distance_bl") - scaled) > 1e-5 * (1 + F.abs(scaled)),
+        "bearing": F.col("facing_1") != (F.abs(wrap_rad(F.col("bearing_1_rad"))) < FACING_RAD),
     }
     counted = {n: r for n, r in rules.items() if all(c in features.columns for c in _columns_of(n))}
     return features.agg(*[F.sum(F.coalesce(r, F.lit(False)).cast("long")).alias(n) for n, r in counted.items()])
 
 
 def _columns_of(rule: str) -> list[str]:
-    return {"pair_order": ["TrackUID_1"], "speed_mean": ["speed_mean_bl_s"], "closing_sign": ["approach_rate_bl_s"], "proximity": ["proximity"], "facing": ["mutual_facing"], "coverage": ["w1s_coverage"]}[rule]
+    return {"pair_order": ["TrackUID_1"], "speed_mean": ["speed_mean_bl_s"], "closing_sign": ["approach_rate_bl_s"], "proximity": ["proximity"], "facing": ["mutual_facing"], "coverage": ["w1s_coverage"], "body_lengths": ["centroid_distance_px", "centroid_distance_bl"], "bearing": ["bearing_1_rad", "facing_1"]}[rule]
+
+
+#: What the medians of near-zero distances and of smoothing residuals may be, in body lengths.
+ZERO_PX, ZERO_BL, RESIDUAL_BL = 5.0, 0.15, 0.1
+
+
+def median_checks(features: DataFrame) -> DataFrame:
+    """One row: the medians, in body lengths, of distances of at most 5 px and of what smoothing changes, and whether
+    both are small. The median of no rows is small."""
+    bl, smooth = F.col("centroid_distance_bl"), F.col("centroid_distance_bl_smooth")
+    out = features.agg(F.percentile(F.when(F.col("centroid_distance_px") <= ZERO_PX, bl), F.lit(0.5)).alias("near_zero_bl"), F.percentile(F.abs(bl - smooth), F.lit(0.5)).alias("residual_bl"))
+    return out.withColumns({"near_zero_ok": F.coalesce(F.col("near_zero_bl") <= ZERO_BL, F.lit(True)), "residual_ok": F.coalesce(F.col("residual_bl") <= RESIDUAL_BL, F.lit(True))})
+
+
+def isolated_smoothing(features: DataFrame, frame: str = "FrameNum") -> DataFrame:
+    """The number of rows of each video's longest episode (ties by its ids) and of those among them whose smoothed
+    distance changes when the episode is smoothed alone."""
+    ids = [k for k in GROUP if k not in ("project_id", "day_label")]
+    sizes = features.groupBy(*GROUP).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy("day_label").orderBy(F.desc("_n"), *ids, "project_id")
+    longest = sizes.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*GROUP)
+    column = "centroid_distance_bl"
+    alone = features.join(F.broadcast(longest), GROUP).withColumn("_old", F.col(f"{column}_smooth"))  # one row for each video
+    alone = add_smoothed(alone, [column], frame=frame)
+    changed = ~(F.col("_old").eqNullSafe(F.col(f"{column}_smooth")) | F.coalesce(F.abs(F.col("_old") - F.col(f"{column}_smooth")) <= 1e-8 + 1e-5 * F.abs("_old"), F.lit(False)))
+    return alone.groupBy("day_label").agg(F.count("*").alias("n"), F.sum(changed.cast("long")).alias("changed"))
 
 
 #: The model-facing feature groups.

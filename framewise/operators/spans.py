@@ -220,6 +220,25 @@ def status_at(frames: DataFrame, intervals: DataFrame, keys: list[str], unknown_
     return found.withColumn("status", F.when(sole, F.col("_a")).otherwise("UNKNOWN")).drop("_a", "_b")
 
 
+def reference_status(frames: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """Status of each frame as the browser tells it: unknown intervals are passed over, and a frame that is circling by
+    one interval and not by another is a conflict."""
+    inside = frames_of(intervals.where(F.col("status").isin("circling", "non-circling")), keys, ("status",)).groupBy(*keys, "frame").agg(F.min("status").alias("_a"), F.max("status").alias("_b"))
+    found = frames.join(inside, [*keys, "frame"], "left")
+    told = F.when(F.col("_a").isNull(), "UNKNOWN").when(F.col("_a") != F.col("_b"), "CONFLICT").otherwise(F.col("_a"))
+    return found.withColumn("status", told).drop("_a", "_b")
+
+
+def frame_masks(masks: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """A row for every frame inside any of the interval tables, with a boolean for each table; AND, OR and NOT of masks
+    are then expressions over one exchange by frame."""
+    rows = None
+    for name, held in masks.items():
+        one = frames_of(merge_spans(held, keys), keys).select(*keys, "frame", *[F.lit(n == name).alias(n) for n in masks])
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.groupBy(*keys, "frame").agg(*[F.max(n).alias(n) for n in masks])
+
+
 def run_lengths(frames: DataFrame, keys: list[str], value: str, frame: str = "frame") -> DataFrame:
     """Consecutive frames of one value as (value, start, end)."""
     return islands(frames.select(*keys, value, frame), [*keys, value], frame).drop("n_rows")
@@ -259,3 +278,55 @@ def shifted_hits(labels: DataFrame, spans: DataFrame, shifts: DataFrame, key: st
     met = overlapping(labels.select(key, "start", "end"), moved, key, tolerance)
     hits = met.select(key, "shift", "start", "end").distinct().groupBy(key, "shift").agg(F.count("*").alias("hits"))
     return shifts.select(key, "shift").join(hits, [key, "shift"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+
+
+def hash_shifts(videos: DataFrame, key: str, size: str = "num_frames", times: int = 300, seed: int = 0) -> DataFrame:
+    """(video, num_frames, shift): reproducible shifts of every video; draws may repeat and then count again."""
+    draws = videos.sparkSession.range(times)
+    return videos.crossJoin(F.broadcast(draws)).select(key, size, F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), key, "id"), F.col(size)).alias("shift"))
+
+
+def event_summary(labels: DataFrame, spans: DataFrame, reviewed: DataFrame, shifts: DataFrame, key: str, tolerance: int = 30, fps: float = 30.0) -> DataFrame:
+    """One row for each video of ``shifts``: labels caught, labels, mean hits of the shifted null model, share of label
+    frames covered, mean pieces of the labels caught, median absolute start and end errors, seconds detected in reviewed
+    frames without a label, seconds of such frames, and spans. Shares and medians of nothing are null."""
+    events = event_evaluation(labels, spans, key, tolerance, fps).groupBy(key).agg(
+        F.sum(F.col("hit").cast("long")).alias("caught"), F.count("*").alias("events"), F.avg(F.when(F.col("hit"), F.col("pieces"))).alias("pieces"),
+        *[F.expr(f"percentile(abs({c}), 0.5d)").alias(c) for c in ("start_err", "end_err")],
+    )
+    own = shifts.groupBy(key, F.col("shift")).agg(F.count("*").alias("_times"), F.first("num_frames").alias("num_frames"))
+    hits = shifted_hits(labels, spans, own.select(key, "num_frames", "shift"), key, "num_frames", tolerance)
+    null = own.join(hits, [key, "shift"]).groupBy(key).agg((F.sum(F.col("hits") * F.col("_times")) / F.sum("_times")).alias("null_hits"))
+    of = lambda c: F.sum(c.cast("long"))
+    negative = F.col("_rev") & ~F.col("_lab")
+    masks = frame_masks({"_det": spans, "_lab": labels, "_rev": reviewed}, [key]).groupBy(key).agg(
+        ratio(of(F.col("_det") & F.col("_lab")), of(F.col("_lab"))).alias("coverage"), (of(F.col("_det") & negative) / F.lit(fps)).alias("false_alarm_s"), (of(negative) / F.lit(fps)).alias("reviewed_neg_s")
+    )
+    found = spans.groupBy(key).agg(F.count("*").alias("episodes"))
+    out = null.join(events, key, "left").join(masks, key, "left").join(found, key, "left")
+    return out.fillna(0, ["caught", "events", "episodes"]).fillna(0.0, ["false_alarm_s", "reviewed_neg_s"])
+
+
+def event_recall(labels: DataFrame, events: DataFrame, key: str) -> DataFrame:
+    """Each label with the number of detected events that overlap it."""
+    met = overlapping(labels.select(key, "start", "end"), events.select(key, F.col("start").alias("b_start"), F.col("end").alias("b_end")), key, 0, "left")
+    return met.groupBy(key, "start", "end").agg(F.count("b_start").alias("n_events"))
+
+
+def recall_of(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Labels met, labels and their ratio."""
+    out = counted.groupBy(*keys).agg(F.sum((F.col("n_events") > 0).cast("long")).alias("found"), F.count("*").alias("labels"))
+    return out.withColumn("recall", ratio(F.col("found"), F.col("labels")))
+
+
+def clip_table(labels: DataFrame, videos: DataFrame, poses: DataFrame | None, key: str = "video_id", fps: float = 30.0, present: DataFrame | None = None) -> DataFrame:
+    """The status table of clips of labelled events: name, frames, seconds, and whether the video has a pose table
+    (``present``, else the videos of ``poses``); an event of an unknown video has no row."""
+    held = (present if present is not None else poses).select(key).distinct().withColumn("_has", F.lit(True))
+    rows = labels.join(videos.select(key).distinct(), key, "left_semi").join(held, key, "left")
+    n = F.col("end") - F.col("start") + 1
+    known = lambda c: F.when(F.col("_has"), c)
+    return rows.select(
+        F.format_string("%s__f%d-%d.mp4", key, "start", "end").alias("clip"), key, known(F.col("start")).alias("start_frame"), known(F.col("end")).alias("stop_frame"),
+        known(F.round(n / F.lit(fps), 3)).alias("duration_s"), known(n).alias("n_frames"), F.when(F.col("_has"), "ok").otherwise("skipped (no parquet)").alias("status"),
+    )

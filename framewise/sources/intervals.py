@@ -177,6 +177,61 @@ def viewer_intervals(df: DataFrame, video: str, fps: float = 30.0, kind: str = "
     return held.select(a.alias("start"), wrong.alias("end"), status.alias("status"), notes.alias("notes"))
 
 
+#: Header names of the exporter's columns, by preference, and its words for true.
+EXPORT_HEADERS = {
+    "video": ("VideoID", "video_id", "video"),
+    "start": ("StartFrame", "Start Frame", "start_frame"),
+    "end": ("EndFrame", "End Frame", "end_frame"),
+    "sure": ("Verified", "verified"),
+    "label": ("Primary label/behavior", "Behavior", "behavior"),
+    "direction": ("Rotation direction", "Direction"),
+    "turns": ("No. of turns/circles", "Rounds"),
+}
+
+
+def exporter_intervals(df: DataFrame, video: str, prediction: bool = False, verified: bool = False, end_exclusive: bool = False) -> DataFrame:
+    """start, end, status, direction, turns and notes of one video's intervals for the clip exporter.
+
+    An annotation counts as circling or non-circling only if it is marked for use (its ``Circling`` flag decides) or, in
+    a file without that mark, if it is verified and names one of the two; everything else is unknown. Rows without both
+    frames are left out (``skipped`` counts them); texts are the file's own, empty where it has none.
+    """
+    role = {r: next((n for n in names if n in df.columns), None) for r, names in EXPORT_HEADERS.items()}
+    missing = [r for r in ("start", "end") if role[r] is None]
+    if missing:
+        raise ValueError(f"no column for the interval's {' and '.join(missing)}")
+    text = lambda r: F.coalesce(F.col(f"`{role[r]}`").cast("string"), F.lit("")) if role[r] else F.lit("")
+    told = _of_video(df, role["video"], video).where(_framed(role["start"], role["end"]))
+    a, b = whole_frame(F.col(f"`{role['start']}`")), whole_frame(F.col(f"`{role['end']}`")) - int(end_exclusive)
+    word = F.lower(F.trim(text("label")))
+    named = F.when(word == "circling", "circling").when(word.isin("non-circling", "no-circling"), "non-circling").otherwise("unknown")
+    if prediction:
+        status = F.lit("prediction")
+    elif "ShouldUse" in df.columns:
+        circling = truth(F.col("Circling")) if "Circling" in df.columns else F.lit(False)
+        status = F.when(~truth(F.col("ShouldUse")), "unknown").when(circling, "circling").otherwise("non-circling")
+    else:
+        status = F.when(truth(F.col(f"`{role['sure']}`")) if role["sure"] else F.lit(verified), named).otherwise("unknown")
+    remarks = [c for c in df.columns if "note" in c.lower() or "comment" in c.lower()]
+    notes = F.concat_ws(" | ", *[F.col(f"`{c}`").cast("string") for c in remarks]) if remarks else F.lit("")
+    end = F.when(b < a, F.raise_error(F.lit("end precedes start")).cast("long")).otherwise(b)
+    return told.select(a.alias("start"), end.alias("end"), status.alias("status"), text("direction").alias("direction"), text("turns").alias("turns"), notes.alias("notes"))
+
+
+def _of_video(df: DataFrame, name: str | None, video: str) -> DataFrame:
+    return df if name is None else df.where(F.col(f"`{name}`").isNull() | (F.col(f"`{name}`").cast("string") == video))
+
+
+def _framed(start: str, end: str):
+    return F.col(f"`{start}`").isNotNull() & F.col(f"`{end}`").isNotNull()
+
+
+def skipped(df: DataFrame, video: str) -> int:
+    """Rows of a video that lack a frame and that the exporter leaves out."""
+    start, end, name = (next((n for n in EXPORT_HEADERS[r] if n in df.columns), None) for r in ("start", "end", "video"))
+    return _of_video(df, name, video).where(~_framed(start, end)).count()
+
+
 def _numbered(df: DataFrame, keys: list[str], order: list[str], block: int = 1 << 16) -> DataFrame:
     """Adds ``nth``, a number from 0 in the order of frames, by counts of blocks, so that no task sorts all rows."""
     part = df.withColumn("_b", F.floor(F.col(order[0]) / block))
