@@ -614,12 +614,12 @@ def event_eval(spark, sf):
     return out.select("video_id", "start", "end", "pieces", R("coverage", alias="coverage"), R("start_err", alias="start_err"), R("end_err", alias="end_err"))
 
 
-@query(f"""WITH {A.SPANS}, sh AS (SELECT video_id, num_frames, (i * 997 + 13) % num_frames AS shift FROM iv, range(0, 20) t(i)),
+@query(f"""WITH {A.SPANS}, sh AS (SELECT video_id, num_frames, (i * 997 + 13) % num_frames AS shift FROM iv, range(0, 300) t(i)),
 mv AS (SELECT p.video_id, shift, (p."start" + shift) % num_frames AS "start", (p."end" + shift) % num_frames AS "end" FROM pred_m p JOIN sh ON sh.video_id = p.video_id),
 h AS (SELECT video_id, shift, count(*) AS hits FROM (SELECT DISTINCT g.video_id, shift, g."start", g."end" FROM gt_m g JOIN mv p ON g.video_id = p.video_id AND p."start" <= g."end" + 30 AND p."end" >= g."start" - 30) GROUP BY 1, 2)
 SELECT sh.video_id, sh.shift, CAST(coalesce(hits, 0) AS BIGINT) AS hits FROM sh LEFT JOIN h ON h.video_id = sh.video_id AND h.shift = sh.shift""")
 def random_shift_null(spark, sf):
-    shifts = A.interval_videos(spark).crossJoin(spark.range(20)).select("video_id", "num_frames", ((F.col("id") * 997 + 13) % F.col("num_frames")).alias("shift"))
+    shifts = A.interval_videos(spark).crossJoin(spark.range(300)).select("video_id", "num_frames", ((F.col("id") * 997 + 13) % F.col("num_frames")).alias("shift"))
     return spans.shifted_hits(*_merged(spark, sf), shifts, "video_id")
 
 
@@ -699,13 +699,13 @@ def quantile_cut(spark, sf):
     return scoring.quantiles(A.pairs(spark, sf), ["video_id"], "dist", (0.25, 0.5, 0.975)).select("video_id", "q", R("value", alias="value"))
 
 
-@query()
+@query(f"WITH {A.SCORED}, n AS (SELECT label, count(*) AS a, CAST(floor(count(*) * 0.2::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS t FROM scored GROUP BY 1) SELECT * FROM (SELECT label, true AS test, t AS n FROM n UNION ALL SELECT label, false, CAST(a - t AS BIGINT) FROM n) WHERE n > 0")
 def stratified_split(spark, sf):
     out = scoring.stratified_split(A.scored(spark, sf), "doc_id", "label")
     return out.groupBy("label", "test").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {A.SCORED}, n AS (SELECT CASE WHEN label = 0 THEN 1 ELSE 0 END AS label, count(*) AS n FROM scored GROUP BY 1) SELECT label, CAST(CASE WHEN label = 1 THEN n ELSE least(n, coalesce((SELECT n FROM n WHERE label = 1), 0)) END AS BIGINT) AS n FROM n")
 def balanced_negatives(spark, sf):
     held = A.scored(spark, sf).withColumn("label", F.when(F.col("label") == 0, 1).otherwise(0))
     return scoring.balanced_negatives(held, "doc_id", "label").groupBy("label").agg(F.count("*").alias("n"))
@@ -750,7 +750,31 @@ def inner_blocks(spark, sf):
     return experiments.inner_blocks(A.scored(spark, sf), "video_id", "doc_id").select("video_id", "doc_id", F.col("block").cast("int").alias("block"))
 
 
-@query()
+def _cells_sql(cells: str, source: str, hot: str, lengths: tuple[int, ...]) -> str:
+    """Counts of every video for every cell and minimum length: vid, nth, the grid's columns and pooled counts."""
+    sizes = ", ".join(f"({k}, {n})" for k, n in enumerate(lengths))
+    return f"""cells AS ({cells}), vt AS (SELECT video_id, cell, frame, avg(p) OVER (PARTITION BY video_id, cell ORDER BY frame ROWS BETWEEN 15 PRECEDING AND 14 FOLLOWING) AS vote FROM (SELECT s.*, cell, CASE WHEN {hot} THEN 1.0::DOUBLE ELSE 0 END AS p FROM {source} s, cells)),
+rn AS ({_islands_sql('vt', 'vote >= 0.5', 1, 'video_id, cell')}), grid AS (SELECT *, cell * {len(lengths)} + k AS nth FROM cells, (VALUES {sizes}) l(k, min_length)),
+pg AS (SELECT video_id || '#' || nth AS video_id, "start", "end" FROM rn JOIN grid USING (cell) WHERE "end" - "start" + 1 >= min_length), gg AS (SELECT video_id || '#' || nth AS video_id, "start", "end" FROM gt_m, grid),
+hit AS (SELECT video_id, count(*) AS n FROM {_match_sql('gg', 'pg', 50)} GROUP BY 1), shared AS (SELECT g.video_id, sum({_OVER}) AS n FROM gg g JOIN pg p ON {_ON} GROUP BY 1),
+size_p AS (SELECT video_id, sum("end" - "start" + 1) AS f, count(*) AS n FROM pg GROUP BY 1), size_g AS (SELECT video_id, sum("end" - "start" + 1) AS f, count(*) AS n FROM gg GROUP BY 1),
+counts AS (SELECT v.vid, grid.*, coalesce(sh.n, 0) AS tp, coalesce(sp.f, 0) AS p, coalesce(sg.f, 0) AS g, coalesce(sp.n, 0) AS ps, coalesce(sg.n, 0) AS gs, coalesce(h.n, 0) AS tp_50
+  FROM (SELECT iv.video_id AS vid, nth AS vnth, iv.video_id || '#' || nth AS video_id FROM iv, grid) v JOIN grid ON nth = vnth LEFT JOIN shared sh USING (video_id) LEFT JOIN size_p sp USING (video_id) LEFT JOIN size_g sg USING (video_id) LEFT JOIN hit h USING (video_id))"""
+
+
+_SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("tp", "p", "g", "ps", "gs", "tp_50"))
+_OBJECTIVE = "CASE WHEN tp_50 > 0 THEN 2 * tp_50 / (ps + gs) ELSE 0::DOUBLE END AS f1_50, CASE WHEN tp > 0 THEN 2 * tp / (g + p) ELSE 0::DOUBLE END AS frame_f1"
+_THRESHOLD_CELLS = "SELECT i - 1 AS cell, i / 20 AS threshold FROM range(1, 20) t(i)"
+_RULE_CELLS = "SELECT CAST(row_number() OVER (ORDER BY a, b) - 1 AS BIGINT) AS cell, a AS close_min, b AS turns_min FROM (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS a) x, (SELECT unnest([0.25, 0.5, 0.75, 1.0, 1.5]::DOUBLE[]) AS b) y"
+_LENGTHS = (0, 90, 150, 300)
+GRID = A.SPANS + f""", inside AS (SELECT video_id, unnest(range("start", "end" + 1)) AS frame FROM pred_m),
+dense AS (SELECT f.video_id, f.frame, CASE WHEN i.frame IS NULL THEN 0 ELSE 0.8::DOUBLE END AS score FROM (SELECT video_id, unnest(range(0, {A.INTERVAL_FRAMES})) AS frame FROM iv) f LEFT JOIN inside i ON i.video_id = f.video_id AND i.frame = f.frame)"""
+RULES = A.SPANS + f""", inside AS (SELECT video_id, frame, max(score) AS c, max(cycles) AS t FROM (SELECT *, unnest(range("start", "end" + 1)) AS frame FROM pred) GROUP BY 1, 2),
+dense AS (SELECT f.video_id, f.frame, c, t FROM (SELECT video_id, unnest(range(0, {A.INTERVAL_FRAMES})) AS frame FROM iv) f LEFT JOIN inside i ON i.video_id = f.video_id AND i.frame = f.frame)"""
+
+
+@query(f"""WITH {GRID}, {_cells_sql(_THRESHOLD_CELLS, 'dense', 'score >= threshold', _LENGTHS)}, pooled AS (SELECT nth, threshold, min_length, {_SUMS} FROM counts GROUP BY 1, 2, 3)
+SELECT threshold, min_length, {r('f1_50')} AS f1_50, {r('frame_f1')} AS frame_f1 FROM (SELECT *, {_OBJECTIVE} FROM pooled) ORDER BY f1_50 DESC, frame_f1 DESC, nth LIMIT 1""")
 def grid_search_best(spark, sf):
     from framewise.plans import experiments
 
@@ -758,7 +782,10 @@ def grid_search_best(spark, sf):
     return experiments.choose_postprocess(scores, A.gt(spark, sf), A.interval_videos(spark)).select("threshold", "min_length", R("f1_50", alias="f1_50"), R("frame_f1", alias="frame_f1"))
 
 
-@query()
+@query(f"""WITH {RULES}, {_cells_sql(_RULE_CELLS, 'dense', 'coalesce(c >= close_min AND abs(t) >= turns_min, false)', _LENGTHS)}, whole AS (SELECT nth, {_SUMS} FROM counts GROUP BY 1),
+rest AS (SELECT c.vid, nth, close_min, turns_min, min_length, {', '.join(f'w.{x} - c.{x} AS {x}' for x in ('tp', 'p', 'g', 'ps', 'gs', 'tp_50'))} FROM counts c JOIN whole w USING (nth)),
+fitted AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY f1_50 DESC, frame_f1 DESC, nth) AS place FROM (SELECT *, {_OBJECTIVE} FROM rest)) WHERE place = 1), judged AS (SELECT vid, nth, {_OBJECTIVE} FROM counts)
+SELECT f.vid AS test_video, f.close_min, f.turns_min, f.min_length, {r('f.f1_50')} AS train_f1_50, {r('f.frame_f1')} AS train_frame_f1, {r('j.f1_50')} AS f1_50, {r('j.frame_f1')} AS frame_f1 FROM fitted f JOIN judged j ON j.vid = f.vid AND j.nth = f.nth""")
 def lovo_rule(spark, sf):
     from framewise.plans import experiments
 
@@ -778,3 +805,130 @@ def logreg_fit(spark, sf):
     return scored.select("doc_id", R("score", 6, "score"), "label")
 
 
+# -- composite tables and event reports -------------------------------------------------------------------------
+
+_REV = A.SPANS + ", " + A.REVIEWED_SPANS
+_FRAMES_OF = 'SELECT video_id, unnest(range("start", "end" + 1)) AS frame'
+MASKS = _REV + f", masks AS (SELECT video_id, frame, bool_or(m = 'det') AS det, bool_or(m = 'lab') AS lab, bool_or(m = 'rev') AS rev FROM ({' UNION ALL '.join(f'{_FRAMES_OF}, {chr(39)}{m}{chr(39)} AS m FROM {t}_m' for m, t in (('det', 'pred'), ('lab', 'gt'), ('rev', 'reviewed')))}) GROUP BY 1, 2)"
+
+
+def _masks(spark, sf):
+    return spans.frame_masks({"det": A.pred(spark, sf), "lab": A.gt(spark, sf), "rev": A.reviewed(spark, sf)}, ["video_id"])
+
+
+@query(f"WITH {MASKS} SELECT video_id, frame, det AND lab AS both, rev AND NOT lab AS negative, det AND rev AND NOT lab AS false_alarm FROM masks")
+def frame_masks(spark, sf):
+    negative = F.col("rev") & ~F.col("lab")
+    return _masks(spark, sf).select(*KEYS, (F.col("det") & F.col("lab")).alias("both"), negative.alias("negative"), (F.col("det") & negative).alias("false_alarm"))
+
+
+@query(f"""WITH {MASKS}, met AS (SELECT g.video_id, g."start" AS a, g."end" AS b, count(p."start") AS pieces, abs(min(p."start") - g."start") / 30 AS se, abs(max(p."end") - g."end") / 30 AS ee FROM gt_m g LEFT JOIN pred_m p ON g.video_id = p.video_id AND p."start" <= g."end" + 30 AND p."end" >= g."start" - 30 GROUP BY 1, 2, 3),
+ev AS (SELECT video_id, CAST(sum(CASE WHEN pieces > 0 THEN 1 ELSE 0 END) AS BIGINT) AS caught, CAST(count(*) AS BIGINT) AS events, avg(CASE WHEN pieces > 0 THEN pieces END) AS pieces, median(se) AS start_err, median(ee) AS end_err FROM met GROUP BY 1),
+sh AS (SELECT video_id, (i * 997 + 13) % num_frames AS shift, num_frames FROM iv, range(0, 300) t(i)), mv AS (SELECT p.video_id, shift, (p."start" + shift) % num_frames AS "start", (p."end" + shift) % num_frames AS "end" FROM pred_m p JOIN sh ON sh.video_id = p.video_id),
+nu AS (SELECT video_id, count(*) / 300 AS null_hits FROM (SELECT DISTINCT g.video_id, shift, g."start", g."end" FROM gt_m g JOIN mv p ON g.video_id = p.video_id AND p."start" <= p."end" AND p."start" <= g."end" + 30 AND p."end" >= g."start" - 30) GROUP BY 1),
+mk AS (SELECT video_id, sum(CASE WHEN det AND lab THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN lab THEN 1 ELSE 0 END), 0) AS coverage, sum(CASE WHEN det AND rev AND NOT lab THEN 1 ELSE 0 END) / 30 AS fa, sum(CASE WHEN rev AND NOT lab THEN 1 ELSE 0 END) / 30 AS neg FROM masks GROUP BY 1)
+SELECT iv.video_id, coalesce(caught, 0) AS caught, coalesce(events, 0) AS events, {r('coalesce(null_hits, 0)')} AS null_hits, {r('coverage')} AS coverage, {r('pieces')} AS pieces, {r('start_err')} AS start_err, {r('end_err')} AS end_err, {r('coalesce(fa, 0)')} AS false_alarm_s, {r('coalesce(neg, 0)')} AS reviewed_neg_s,
+  CAST((SELECT count(*) FROM pred_m p WHERE p.video_id = iv.video_id) AS BIGINT) AS episodes FROM iv LEFT JOIN ev ON ev.video_id = iv.video_id LEFT JOIN nu ON nu.video_id = iv.video_id LEFT JOIN mk ON mk.video_id = iv.video_id""")
+def event_summary(spark, sf):
+    shifts = A.interval_videos(spark).crossJoin(spark.range(300)).select("video_id", "num_frames", ((F.col("id") * 997 + 13) % F.col("num_frames")).alias("shift"))
+    labels, found = _merged(spark, sf)
+    out = spans.event_summary(labels, found, A.reviewed(spark, sf), shifts, "video_id")
+    return out.select("video_id", "caught", "events", *[R(c, alias=c) for c in ("null_hits", "coverage", "pieces", "start_err", "end_err", "false_alarm_s", "reviewed_neg_s")], "episodes")
+
+
+@query(f'WITH {A.SPANS}, c AS (SELECT g.video_id, g."start", g."end", count(p."start") AS n FROM gt_m g LEFT JOIN pred p ON {_ON} GROUP BY 1, 2, 3) SELECT video_id, CAST(sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS BIGINT) AS found, CAST(count(*) AS BIGINT) AS labels, {r("sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) / count(*)")} AS recall FROM c GROUP BY 1')
+def event_recall(spark, sf):
+    counted = spans.event_recall(_merged(spark, sf)[0], A.pred(spark, sf), "video_id")
+    return spans.recall_of(counted, ["video_id"]).withColumn("recall", R("recall"))
+
+
+@query(f"""WITH {A.SPANS}, s AS (SELECT video_id, unnest(range(0, num_frames)) AS frame FROM iv), i AS (SELECT video_id, frame, min(st) AS a, max(st) AS b FROM (SELECT video_id, {_STATUS} AS st, unnest(range("start", "end" + 1)) AS frame FROM gt) WHERE st <> 'unknown' GROUP BY 1, 2)
+SELECT s.video_id, s.frame, CASE WHEN a IS NULL THEN 'UNKNOWN' WHEN a <> b THEN 'CONFLICT' ELSE a END AS status FROM s LEFT JOIN i ON i.video_id = s.video_id AND i.frame = s.frame""")
+def browser_status(spark, sf):
+    held = A.gt(spark, sf).withColumn("status", F.expr(_STATUS))
+    return spans.reference_status(frames.spine(A.interval_videos(spark)), held, ["video_id"]).select(*KEYS, "status")
+
+
+@query("WITH m AS (SELECT event_id, CAST(round(event_id * 37 / 30 * 1000) AS BIGINT) AS ms FROM events) SELECT event_id, printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS stamp FROM m")
+def frame_stamps(spark, sf):
+    return A.table(spark, sf, "events").select("event_id", X.stamp(F.col("event_id") * 37).alias("stamp"))
+
+
+@query(f'WITH {A.SPANS} SELECT video_id, row_id, greatest(0, "start" - 30) AS low, least({A.INTERVAL_FRAMES - 1}, "end" + 30) AS high FROM pred')
+def buffered_bounds(spark, sf):
+    held = A.pred(spark, sf).withColumn("_b", X.buffered(F.col("start"), F.col("end"), F.lit(30), F.lit(A.INTERVAL_FRAMES).cast("long")))
+    return held.select("video_id", "row_id", F.col("_b.start").alias("low"), F.col("_b.end").alias("high"))
+
+
+@query(f"""WITH {A.SPANS}, h AS (SELECT g.*, EXISTS (SELECT 1 FROM pred p WHERE p.video_id = g.video_id AND p.direction = 'CW' AND p.score > 0.9::DOUBLE) AS ok, g."end" - g."start" + 1 AS n FROM gt g)
+SELECT printf('%s__f%d-%d.mp4', video_id, "start", "end") AS clip, video_id, CASE WHEN ok THEN "start" END AS start_frame, CASE WHEN ok THEN "end" END AS stop_frame, CASE WHEN ok THEN {r('n / 30', 3)} END AS duration_s, CASE WHEN ok THEN n END AS n_frames, CASE WHEN ok THEN 'ok' ELSE 'skipped (no parquet)' END AS status FROM h""")
+def clip_status(spark, sf):
+    present = A.pred(spark, sf).where("direction = 'CW' AND score > 0.9D")
+    return spans.clip_table(A.gt(spark, sf), A.interval_videos(spark), None, present=present)
+
+
+_LR_POINTS = framefeat.KEYPOINTS
+_LR_SIGNALS = [*_LR_POINTS, "bend", "turn"]
+
+
+def _hypot(a: str, b: str, own: str = "") -> str:
+    return f"sqrt(({a}_x - {own}{b}_x) * ({a}_x - {own}{b}_x) + ({a}_y - {own}{b}_y) * ({a}_y - {own}{b}_y))"
+
+
+_LR_LENGTH = " + ".join(_hypot(a, b) for a, b in zip(framefeat.MIDLINE[:-1], framefeat.MIDLINE[1:], strict=True))
+_LR_MOVES = ", ".join(f"CASE WHEN len > 1 AND next_ THEN ln(1 + sqrt(({k}_x - lag({k}_x) OVER w) * ({k}_x - lag({k}_x) OVER w) + ({k}_y - lag({k}_y) OVER w) * ({k}_y - lag({k}_y) OVER w)) / len) END AS {k}" for k in _LR_POINTS)
+_LR_BASE = ["track_count", *[f"{x}_{y}" for x in _LR_SIGNALS for y in ("mean", "max")]]
+_LR_PAIRS = {**{c: c for c in list(A.LINEAR_VALUES)[:9]}, **{f"{c}_{f}": f"{f}({c})" for c in list(A.LINEAR_VALUES)[9:] for f in ("sin", "cos")}}
+LINEAR = A.PAIRS + f", {A.POSES}, {A.LINEAR}, {A.SPINE}" + f""",
+p1 AS (SELECT *, {_LR_LENGTH} AS len, atan2(Nose_y - Spine1_y, Nose_x - Spine1_x) AS hd, coalesce(frame - lag(frame) OVER (PARTITION BY video_id, track ORDER BY frame) = 1, false) AS next_ FROM poses),
+p2 AS (SELECT video_id, frame, {_LR_MOVES}, CASE WHEN len > 1 THEN 1 - {_hypot('Nose', 'TailTip')} / len END AS bend, CASE WHEN next_ THEN abs(atan2(sin(hd - lag(hd) OVER w), cos(hd - lag(hd) OVER w))) END AS turn FROM p1 WINDOW w AS (PARTITION BY video_id, track ORDER BY frame)),
+p3 AS (SELECT video_id, frame, CAST(count(*) AS DOUBLE) AS track_count, {', '.join(f'avg({x}) AS {x}_mean, max({x}) AS {x}_max' for x in _LR_SIGNALS)} FROM p2 GROUP BY 1, 2),
+p4 AS (SELECT s.video_id, s.frame, coalesce(track_count, 0) AS track_count, {', '.join(_LR_BASE[1:])} FROM spine s LEFT JOIN p3 ON p3.video_id = s.video_id AND p3.frame = s.frame),
+p5 AS (SELECT *, {', '.join(f'avg({c}) OVER w AS {c}_trailing30' for c in _LR_BASE)} FROM p4 WINDOW w AS (PARTITION BY video_id ORDER BY frame ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+q1 AS (SELECT video_id, frame, CAST(count(*) AS DOUBLE) AS pair_count, {', '.join(f'avg({e}) AS {n}_mean, min({e}) AS {n}_min, max({e}) AS {n}_max' for n, e in _LR_PAIRS.items())} FROM lin GROUP BY 1, 2)"""
+_LR_ALL = [*_LR_BASE, *[f"{c}_trailing30" for c in _LR_BASE], *[f"{n}_{f}" for n in _LR_PAIRS for f in ("mean", "min", "max")]]
+
+
+@query(f"WITH {LINEAR} SELECT p5.video_id, p5.frame, coalesce(pair_count, 0) AS lr_pair_count, {', '.join(f'{r(c, 6)} AS lr_{c}' for c in _LR_ALL)} FROM p5 LEFT JOIN q1 ON q1.video_id = p5.video_id AND q1.frame = p5.frame")
+def lr_features(spark, sf):
+    from framewise.plans import tables
+
+    out = tables.lr_features(A.poses(spark, sf), A.linear_pairs(spark, sf), A.videos(spark, sf))
+    return out.select(*KEYS, "lr_pair_count", *[R(c, 6, c) for c in out.columns if c not in (*KEYS, "lr_pair_count")])
+
+
+_WIN = ["dist", "rate", "dist_rate", "rate_rate"]
+
+
+@query(f"""WITH {SERIES}, win AS (SELECT video_id, frame, {', '.join(f"lead({s}, {o}) OVER w AS {s}{k}" if o >= 0 else f"lag({s}, {-o}) OVER w AS {s}{k}" for s in _WIN for k, o in enumerate(range(-60, 61, 4)))} FROM series WINDOW w AS (PARTITION BY video_id ORDER BY frame))
+SELECT b.video_id, b.frame, {r('b.dist')} AS dist, {', '.join(f'{r(f"{s}{k}", 3)} AS "win_{s}_offset_{o:+d}"' for s in _WIN for k, o in enumerate(range(-60, 61, 4)))} FROM best b JOIN win ON win.video_id = b.video_id AND win.frame = b.frame""")
+def baseline_frames(spark, sf):
+    from framewise.plans import tables
+
+    model = frames.closest_pair(A.pairs(spark, sf), KEYS).select(*KEYS, R("dist", alias="dist"))
+    windows = tables.flat_windows(_series(spark, sf), _WIN)
+    base = tables.baseline_frames(model, frames.spine(A.videos(spark, sf)).withColumn("lr_one", F.lit(1)), windows).drop("lr_one")
+    out = tables.with_baselines(model, base)
+    return out.select(*KEYS, "dist", *[R(F.col(f"`{c}`"), 3, c) for c in out.columns if c.startswith("win_")])
+
+
+@query(f"""WITH {A.PAIRS}, iv AS (SELECT 1), {A._interval_sql('gt', 'error')}, ok AS (SELECT * FROM pairs WHERE missing_1 + missing_2 < 5), lf AS (SELECT DISTINCT video_id, unnest(range("start", "end" + 1)) AS frame FROM gt),
+a AS (SELECT video_id, frame, CAST(count(*) AS BIGINT) AS n_pairs, avg(rate) AS rmean FROM ok GROUP BY 1, 2), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, frame ORDER BY dist NULLS LAST, t1, t2) AS nth FROM ok) WHERE nth = 1)
+SELECT b.video_id, b.frame, t1, t2, n_pairs, {r('rmean')} AS all_rate_mean, {r('bearing_1')} AS bearing_1, CASE WHEN lf.frame IS NULL THEN 0 ELSE 1 END AS label FROM b JOIN a ON a.video_id = b.video_id AND a.frame = b.frame LEFT JOIN lf ON lf.video_id = b.video_id AND lf.frame = b.frame""")
+def model_table(spark, sf):
+    from framewise.plans import tables
+
+    held = A.pairs(spark, sf)
+    out = tables.model_table(held, held.where("missing_1 + missing_2 < 5"), A.gt(spark, sf), "dist", ["bearing_1"], {"rate": ["mean"]})
+    return out.select(*KEYS, "t1", "t2", "n_pairs", R("all_rate_mean", alias="all_rate_mean"), R("bearing_1", alias="bearing_1"), "label")
+
+
+@query(f"WITH {F0}, e AS (SELECT {GROUPS}, count(*) AS n FROM f1 GROUP BY ALL) SELECT day_label, CAST(max(n) AS BIGINT) AS n, CAST(0 AS BIGINT) AS changed FROM e GROUP BY 1")
+def isolated_smoothing(spark, sf):
+    return pairfeat.isolated_smoothing(pairfeat.add_smoothed(_features(spark, sf), ["centroid_distance_bl"]))
+
+
+@query(f"""WITH {F0} SELECT CAST(count(*) FILTER (TrackUID_1 >= TrackUID_2) AS BIGINT) AS pair_order, CAST(count(*) FILTER (abs(speed_mean * 2 - speed_bl_s_1 - speed_bl_s_2) > 1e-6) AS BIGINT) AS speed_mean, CAST(count(*) FILTER (proximity <> (dbl <= 1.5)) AS BIGINT) AS proximity,
+  CAST(count(*) FILTER (abs(dbl * (body_length_px_1 + body_length_px_2) / 2 - centroid_distance_px) > 1e-5 * (1 + centroid_distance_px)) AS BIGINT) AS body_lengths, CAST(count(*) FILTER (facing_1 <> (abs(bearing_1_rad) < pi() / 4)) AS BIGINT) AS bearing FROM f1""")
+def invariants(spark, sf):
+    return pairfeat.violations(_features(spark, sf)).select("pair_order", "speed_mean", "proximity", "body_lengths", "bearing")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewise.functions.exprs import wrap_rad
+from framewise.operators.framefeat import KEYPOINTS
 from framewise.operators.frames import self_pairs
 
 #: 2024-01-01 in 30-minute and in 10-minute frames since the epoch.
@@ -121,6 +122,30 @@ motion AS (
     bend_1 AS bend_angle_rad_1, bend_2 AS bend_angle_rad_2, bearing_1 AS bearing_1_rad, bearing_2 AS bearing_2_rad, missing_1 AS qc_n_missing_kp_1, missing_2 AS qc_n_missing_kp_2, CASE WHEN sex_1 <> sex_2 THEN 'FM' ELSE 'MM' END AS pair_sex FROM pairs)"""
 
 
+def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tracks with a position for every keypoint: a line from the track's own position, bent by its heading."""
+    points = {}
+    for k, name in enumerate(KEYPOINTS):
+        points |= {f"{name}_x": F.col("x") + F.lit(3.0 * k), f"{name}_y": F.col("y") + F.lit(float(k)) * F.col("heading")}
+    return tracks(spark, sf_dir).select("video_id", "frame", "track", *[c.alias(n) for n, c in points.items()])
+
+
+POSES = "poses AS (SELECT video_id, frame, track, " + ", ".join(f"x + {3.0 * k}::DOUBLE AS {n}_x, y + {float(k)}::DOUBLE * heading AS {n}_y" for k, n in enumerate(KEYPOINTS)) + " FROM tracks)"
+
+#: The linear detector's pair columns from those of the pairs.
+LINEAR_VALUES = {
+    "centroid_distance_px": "dist", "dist_nose1_nose2_px": "dist + speed_1", "dist_nose1_tailtip2_px": "dist + speed_2", "dist_nose2_tailtip1_px": "dist * speed_1", "dist_nose1_spine4of2_px": "dist * speed_2",
+    "dist_nose2_spine4of1_px": "speed_1 - speed_2", "d_heading_1_rad_s": "heading_1 * 6", "d_heading_2_rad_s": "heading_2 * 3", "d_orbital_rad_s": "rate", "orbital_rad": "orbital", "rel_heading_rad": "rel_heading", "bearing_1_rad": "bearing_1", "bearing_2_rad": "bearing_2",
+}
+
+
+def linear_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(spark, sf_dir).selectExpr("video_id", "frame", "t1", "t2", *[f"{e} AS {n}" for n, e in LINEAR_VALUES.items()])
+
+
+LINEAR = "lin AS (SELECT video_id, frame, t1, t2, " + ", ".join(f"{e} AS {n}" for n, e in LINEAR_VALUES.items()) + " FROM pairs)"
+
+
 def intervals(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """video_id, row_id, start, end, direction, cycles, score of every event of a kind."""
     e = F.col("event_id")
@@ -151,6 +176,14 @@ def interval_videos(spark: SparkSession) -> DataFrame:
     return spark.range(INTERVAL_VIDEOS).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("video_id"), F.lit(INTERVAL_FRAMES).cast("long").alias("num_frames"))
 
 
+def reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals that somebody has looked at."""
+    return intervals(spark, sf_dir, "view")
+
+
+REVIEWED = _interval_sql("reviewed", "view")
+
+
 def _merged_sql(source: str) -> str:
     return f"""{source}_m AS (
   SELECT video_id, min("start") AS "start", max("end") AS "end" FROM (
@@ -160,6 +193,7 @@ def _merged_sql(source: str) -> str:
 
 
 EVENTS = f"iv AS (SELECT 'v' || CAST(i AS VARCHAR) AS video_id, {INTERVAL_FRAMES} AS num_frames FROM range({INTERVAL_VIDEOS}) t(i)), " + _interval_sql("gt", "error") + ", " + _interval_sql("pred", "click")
+REVIEWED_SPANS = REVIEWED + ", " + _merged_sql("reviewed")
 SPANS = EVENTS + ", " + _merged_sql("gt") + ", " + _merged_sql("pred")
 
 
