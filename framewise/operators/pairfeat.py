@@ -248,7 +248,7 @@ def isolated_smoothing(features: DataFrame, frame: str = "FrameNum") -> DataFram
     order = Window.partitionBy("day_label").orderBy(F.desc("_n"), *ids, "project_id")
     longest = sizes.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*GROUP)
     column = "centroid_distance_bl"
-    alone = features.join(F.broadcast(longest), GROUP).withColumn("_old", F.col(f"{column}_smooth"))  # one row for each video
+    alone = features.join(longest, GROUP).withColumn("_old", F.col(f"{column}_smooth"))
     alone = add_smoothed(alone, [column], frame=frame)
     changed = ~(F.col("_old").eqNullSafe(F.col(f"{column}_smooth")) | F.coalesce(F.abs(F.col("_old") - F.col(f"{column}_smooth")) <= 1e-8 + 1e-5 * F.abs("_old"), F.lit(False)))
     return alone.groupBy("day_label").agg(F.count("*").alias("n"), F.sum(changed.cast("long")).alias("changed"))
