@@ -37,10 +37,20 @@ def typical_episode(pairs: DataFrame, video: str, episode: Sequence[str], frame:
     return held.withColumn("_line", F.row_number().over(Window.partitionBy(video).orderBy(frame))).where(F.col("_line") <= rows).drop("_line")
 
 
-def markdown(rows: DataFrame, title: str) -> str:
-    """A small table as Markdown; shares as percentages."""
+def grid(rows: DataFrame) -> str:
+    """A small table as Markdown; shares as percentages, nulls empty, bars escaped."""
     names = rows.columns
-    lines = [f"# {title}", "", f"| {' | '.join(names)} |", f"|{' --- |' * len(names)}"]
-    for row in rows.collect():
-        lines.append("| " + " | ".join("" if row[c] is None else f"{100 * row[c]:.1f}%" if c.endswith(("_rate", "_frac", "_null")) else f"{row[c]:.4g}" if isinstance(row[c], float) else str(row[c]) for c in names) + " |")
-    return "\n".join(lines) + "\n"
+
+    def cell(name: str, value) -> str:
+        if value is None:
+            return ""
+        if name.endswith(("_rate", "_frac", "_null")):
+            return f"{100 * value:.1f}%"
+        return f"{value:.4g}" if isinstance(value, float) else f"{value:,}" if isinstance(value, int) and not isinstance(value, bool) else str(value).replace("|", "\\|")
+
+    lines = [names, ["---"] * len(names), *[[cell(c, row[c]) for c in names] for row in rows.collect()]]
+    return "\n".join(f"| {' | '.join(x)} |" for x in lines)
+
+
+def markdown(rows: DataFrame, title: str) -> str:
+    return f"# {title}\n\n{grid(rows)}\n"

@@ -6,8 +6,8 @@ import random
 import pytest
 
 from framewise.functions import exprs
-from framewise.operators import framefeat, pairfeat, spans
-from framewise.plans import models, tables
+from framewise.operators import framefeat, pairfeat, qc, spans
+from framewise.plans import models, reports, tables
 from framewise.sources import intervals
 
 SPAN = "video_id string, start long, end long"
@@ -164,3 +164,24 @@ def test_invariants_see_broken_rows(spark):
     broken = pairfeat.violations(bad).first()
     assert (broken.body_lengths, broken.bearing) == (1, 1)
     assert pairfeat.isolated_smoothing(bad).first().changed >= 1
+
+
+def test_reports(spark, tmp_path):
+    stats = spark.createDataFrame([("a|b", 12345, 0.25, None), ("c", 1, 0.5, 2.0)], "day string, rows long, bad_frac double, x double")
+    assert qc.grid(stats) == "| day | rows | bad_frac | x |\n| --- | --- | --- | --- |\n| a\\|b | 12,345 | 25.0% |  |\n| c | 1 | 50.0% | 2 |"
+    join = lambda *v: spark.createDataFrame([v], "n long, unmatched_1 long, unmatched_2 long")
+    assert "All 9 pair rows" in reports.quality_report(stats, join(9, 0, 0)) and "2 the second" in reports.quality_report(stats, join(9, 0, 2), stats)
+    summary = spark.createDataFrame([(f"f{k:02d}", k / 100, k % 10 != 0) for k in range(40)], "feature string, weakest_auc_gap double, same_direction boolean")
+    pairs = spark.createDataFrame([("f01", "f02", 0.99), ("f03", "f04", 0.96)], "feature_a string, feature_b string, abs_corr double")
+    told = reports.feature_document(spark.createDataFrame([("a", 10, 3)], "video string, rows long, positives long"), summary, pairs)
+    assert "videos: 4\n\n- `f30`\n- `f20`" in told and "2 pairs" in told and sum(x[:3] == "| f" and x[3].isdigit() for x in told.splitlines()) == 25 + 2 and told.index("f39") < told.index("f38")
+    rows = [(v, x, f / 10 + (x == "b") / 100, 3) for f, v in enumerate(("one", "two", "three")) for x in ("a", "b", "overall")]
+    results = spark.createDataFrame(rows, "variant string, video_id string, f1_50 double, pred_segments long")
+    whole = reports.experiment_document(results)
+    assert "Each of a, b" in whole and whole.index("| three") < whole.index("| two") < whole.index("| one")
+    text = reports.comparison_document({"rule": results.where("variant = 'one'").drop("variant")}, results)
+    assert text.index("rule (a)") < text.index("rule (b)") < text.index("rule (overall)") < text.index("| three |") < text.index("three (test a)") < text.index("one (test b)")
+    reports.write_text(stats, text, str(tmp_path / "report"))
+    assert spark.read.text(str(tmp_path / "report"), wholetext=True).first().value.rstrip("\n") == text.rstrip("\n")
+    with pytest.raises(ValueError, match="no shipped"):
+        reports.comparison_document({}, results)
