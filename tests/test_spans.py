@@ -91,6 +91,36 @@ def test_greedy_window_is_strictly_longer(spark, hot, n, count):
     assert spans.greedy_spans(ones(spark, hot, n), "video_id", seconds=10.0).count() == count
 
 
+def test_greedy_growth_against_a_loop(spark, monkeypatch):
+    """Every window is looked at in turn, with its positive frames counted anew."""
+    import random
+
+    monkeypatch.setattr(spans, "BLOCK", 64)
+    rng = random.Random(11)
+    hot = {}
+    for k in range(12):
+        hot[f"v{k}"] = []
+        while len(hot[f"v{k}"]) < 400:
+            hot[f"v{k}"] += [int(rng.random() < rng.choice([0.2, 0.75, 0.95]))] * 1 + [int(rng.random() < 0.8) for _ in range(rng.randint(0, 30))] + [0] * rng.choice([0, 0, 1, 15])
+    size, share = 11, 0.7
+    want = set()
+    for video, frames in hot.items():
+        found: list[list[int]] = []
+        for a in range(len(frames) - size + 1):
+            b = a + size - 1
+            if sum(frames[a : b + 1]) < share * size:
+                continue
+            near = bool(found) and a <= found[-1][1] + 1
+            if near and sum(frames[found[-1][0] : b + 1]) >= share * (b - found[-1][0] + 1):
+                found[-1][1] = b
+            elif not near or a > found[-1][1]:
+                found.append([a, b])
+        want |= {(video, k, a, b, sum(frames[a : b + 1])) for k, (a, b) in enumerate(found, 1)}
+    rows = table(spark, [(v, f, 0.9 * x) for v, frames in hot.items() for f, x in enumerate(frames)], "video_id string, frame long, score double")
+    got = spans.greedy_spans(rows, "video_id", fraction=share, seconds=10 / 30).collect()
+    assert len(want) > 40 and {(r.video_id, r.span, r.start, r.end, r.positive_frames) for r in got} == want
+
+
 @pytest.mark.parametrize("bad", [float("inf"), float("-inf"), float("nan"), None])
 def test_scores_that_are_not_finite(spark, bad):
     df = table(spark, [("v", f, bad) for f in range(200)], "video_id string, frame long, score double")
