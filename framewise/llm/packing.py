@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewise.llm.common import materialise
+
 
 def text_length(column: str):
     """Tokens of a text: its words, [^\\x20\\x09-\\x0D]+, and one end; a null text is only an end."""
@@ -84,8 +86,10 @@ def pack(docs: DataFrame, keep: list[str], order: str = "doc_id", text: str = "t
     """
     own = ["n_tokens", "bucket", "boundary", "batch_id", "slot", "padding"]
     names = [c for c in keep if c not in own]
-    placed = docs.select(*[f"`{c}`" for c in names], text_length(text).alias("n_tokens"), F.xxhash64(F.col(f"`{order}`"), F.col(f"`{text}`")).alias("_h"))
-    counted = docs.select(text_length(text).alias("n_tokens"))
+    measured = [text_length(text).alias("n_tokens"), F.xxhash64(F.col(f"`{order}`"), F.col(f"`{text}`")).alias("_h")]
+    placed = docs.select(*[f"`{c}`" for c in names], *measured)
+    # Counts need two numbers of a row, which are written so that the texts aren't read for each of them.
+    counted = materialise(docs.select(*measured), "lengths")
     histogram = length_histogram(counted, "n_tokens", budget)
     bounds = best_boundaries(histogram, buckets)
     chunks = max(1, -(-sum(n for _, n in histogram) // chunk_rows))
@@ -96,8 +100,7 @@ def pack(docs: DataFrame, keep: list[str], order: str = "doc_id", text: str = "t
     placed = placed.withColumns({"bucket": bucket, "boundary": boundary, "_chunk": F.pmod(F.col("_h"), F.lit(chunks)).cast("int")})
     inside = Window.partitionBy("bucket", "_chunk").orderBy("_h", *names)
     ranked = placed.withColumn("_rank", F.row_number().over(inside) - 1)
-    sizes = docs.select(text_length(text).alias("n_tokens"), F.xxhash64(F.col(f"`{order}`"), F.col(f"`{text}`")).alias("_h"))
-    sizes = sizes.select(bucket.alias("bucket"), F.pmod(F.col("_h"), F.lit(chunks)).cast("int").alias("_chunk")).groupBy("bucket", "_chunk").agg(F.count("*").alias("_n"))
+    sizes = counted.select(bucket.alias("bucket"), F.pmod(F.col("_h"), F.lit(chunks)).cast("int").alias("_chunk")).groupBy("bucket", "_chunk").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy("bucket").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("bucket", "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     out = ranked.join(sizes, ["bucket", "_chunk"])
