@@ -158,11 +158,12 @@ def overlapping(a: DataFrame, b: DataFrame, key: str, tolerance: int = 0, how: s
     """Rows of ``a`` (start, end) and ``b`` (b_start, b_end) that overlap, up to ``tolerance`` frames apart.
 
     Both sides are joined on the video and the blocks of frames they reach into, so intervals far apart never meet
-    and one video is many keys; a pair counts in the first block that both reach. With ``how`` "left", rows of ``a``
-    that meet none are kept with nulls.
+    and one video is many keys; a pair counts in the first block that both reach. An interval that ends before it
+    starts, as one shifted around a video's end, overlaps what holds both of its ends, so the block of its start finds
+    it. With ``how`` "left", rows of ``a`` that meet none are kept with nulls.
     """
     block = lambda c: F.floor(c / NEAR)
-    reach = lambda low, high: F.explode(F.when(low <= high, F.sequence(block(low), block(high))))
+    reach = lambda low, high: F.explode(F.sequence(block(low), F.greatest(block(low), block(high))))
     low, high = F.col("start") - tolerance, F.col("end") + tolerance
     left = a.withColumn("_block", reach(low, high))
     right = b.withColumnRenamed(key, "_key").withColumn("_near", reach(F.col("b_start"), F.col("b_end")))
@@ -272,10 +273,12 @@ def event_evaluation(labels: DataFrame, spans: DataFrame, key: str, tolerance: i
     ).withColumn("hit", F.col("pieces") > 0)
 
 
-def shifted_hits(labels: DataFrame, spans: DataFrame, shifts: DataFrame, key: str, size: str = "num_frames", tolerance: int = 30) -> DataFrame:
-    """Null model: labels hit when all spans of a video are shifted around its end by each given offset."""
+def shifted_hits(labels: DataFrame, spans: DataFrame, shifts: DataFrame, key: str, size: str = "num_frames", tolerance: int = 30, wrapped: bool = True) -> DataFrame:
+    """Null model: labels hit when all spans of a video are shifted around its end by each given offset. A span whose end
+    passes the video's end and whose start doesn't hits labels that hold both, as in the reference, and none if not
+    ``wrapped``."""
     moved = spans.join(shifts, key).select(key, "shift", rotate(F.col("start"), F.col("shift"), F.col(size)).alias("b_start"), rotate(F.col("end"), F.col("shift"), F.col(size)).alias("b_end"))
-    met = overlapping(labels.select(key, "start", "end"), moved, key, tolerance)
+    met = overlapping(labels.select(key, "start", "end"), moved if wrapped else moved.where("b_start <= b_end"), key, tolerance)
     hits = met.select(key, "shift", "start", "end").distinct().groupBy(key, "shift").agg(F.count("*").alias("hits"))
     return shifts.select(key, "shift").join(hits, [key, "shift"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
 
@@ -287,15 +290,16 @@ def hash_shifts(videos: DataFrame, key: str, size: str = "num_frames", times: in
 
 
 def event_summary(labels: DataFrame, spans: DataFrame, reviewed: DataFrame, shifts: DataFrame, key: str, tolerance: int = 30, fps: float = 30.0) -> DataFrame:
-    """One row for each video of ``shifts``: labels caught, labels, mean hits of the shifted null model, share of label
-    frames covered, mean pieces of the labels caught, median absolute start and end errors, seconds detected in reviewed
-    frames without a label, seconds of such frames, and spans. Shares and medians of nothing are null."""
+    """One row for each video of ``shifts``: labels caught, labels, mean hits of the shifted null model (without spans
+    wrapped around the end), share of label frames covered, mean pieces of the labels caught, median absolute start and
+    end errors, seconds detected in reviewed frames without a label, seconds of such frames, and spans. Shares and medians
+    of nothing are null."""
     events = event_evaluation(labels, spans, key, tolerance, fps).groupBy(key).agg(
         F.sum(F.col("hit").cast("long")).alias("caught"), F.count("*").alias("events"), F.avg(F.when(F.col("hit"), F.col("pieces"))).alias("pieces"),
         *[F.expr(f"percentile(abs({c}), 0.5d)").alias(c) for c in ("start_err", "end_err")],
     )
     own = shifts.groupBy(key, F.col("shift")).agg(F.count("*").alias("_times"), F.first("num_frames").alias("num_frames"))
-    hits = shifted_hits(labels, spans, own.select(key, "num_frames", "shift"), key, "num_frames", tolerance)
+    hits = shifted_hits(labels, spans, own.select(key, "num_frames", "shift"), key, "num_frames", tolerance, wrapped=False)
     null = own.join(hits, [key, "shift"]).groupBy(key).agg((F.sum(F.col("hits") * F.col("_times")) / F.sum("_times")).alias("null_hits"))
     of = lambda c: F.sum(c.cast("long"))
     negative = F.col("_rev") & ~F.col("_lab")

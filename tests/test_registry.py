@@ -44,6 +44,21 @@ def test_query_matches_its_sql(spark, duck, name):
     assert plain([tuple(r) for r in df.collect()], [df.columns.index(c) for c in order]) == want
 
 
+@pytest.mark.parametrize("name", ["random_shift_null", "event_summary"])
+def test_null_model_of_spans_over_whole_videos(spark, tmp_path, name):
+    """With many events labels and spans cover videos to the end, and shifted spans wrap around it."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT row_number() OVER () * 7 + 6 AS event_id, TIMESTAMP '2024-01-01' + to_seconds(600 * f + 1) AS ts, u AS user_id, k AS event_type, 0.0::DOUBLE AS value, '' AS props
+      FROM range(0, 4320, 7) t(f), range(10) v(u), unnest(['error', 'click', 'view']) w(k) WHERE k = 'view' OR u < 5 OR f BETWEEN u * 10 AND 4200 OR f > 4310) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    result = con.execute(registry.SQL[name])
+    names = [d[0] for d in result.description]
+    want = plain(result.fetchall(), range(len(names)))
+    assert plain([tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).select(*names).collect()], range(len(names))) == want
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_query_without_sql_runs(spark, name):
     """Few spans exist at this size; the operators behind these queries are tested against loops elsewhere."""

@@ -207,6 +207,29 @@ def test_shifted_hits(spark):
     assert {r["shift"]: r.hits for r in spans.shifted_hits(labels, found, shifts, "video_id").collect()} == {0: 0, 505: 1}
 
 
+@pytest.mark.parametrize(("near", "wrapped"), [(1 << 12, True), (7, True), (7, False)])
+def test_shifted_hits_of_spans_around_the_end(spark, monkeypatch, near, wrapped):
+    """Labels and spans over much of a video: a span shifted around its end starts after it ends."""
+    monkeypatch.setattr(spans, "NEAR", near)
+    labels, found = [("v", 0, 99), ("v", 12, 70), ("w", 35, 60)], [("v", 0, 97), ("v", 40, 65), ("w", 2, 96)]
+    shifts = [(v, 100, s) for v in "vw" for s in range(100)]
+    hit = lambda x, a, b: a <= x[2] + 30 and b >= x[1] - 30 and (wrapped or a <= b)
+    want = {(v, s): sum(any(v == x[0] == y[0] and hit(x, (y[1] + s) % n, (y[2] + s) % n) for y in found) for x in labels) for v, n, s in shifts}
+    make = lambda rows, names: table(spark, rows, "video_id string, " + names)
+    got = spans.shifted_hits(*(make(x, "start long, end long") for x in (labels, found)), make(shifts, "num_frames long, shift long"), "video_id", **{} if wrapped else {"wrapped": False}).collect()
+    assert len(got) == len(shifts) and {(r.video_id, r["shift"]): r.hits for r in got} == want
+
+
+@pytest.mark.parametrize("near", [1 << 12, 7, 1])
+def test_overlaps_of_reversed_intervals(spark, monkeypatch, near):
+    monkeypatch.setattr(spans, "NEAR", near)
+    a, b = ([("v", s, e) for s in range(0, 25, step) for e in range(0, 25, step)] for step in (6, 4))
+    left, right = table(spark, a, "video_id string, start long, end long"), table(spark, b, "video_id string, b_start long, b_end long")
+    met = sorted((*x, *y[1:]) for x in a for y in b if y[1] <= x[2] + 2 and y[2] >= x[1] - 2)
+    assert any(x[3] > x[4] for x in met) and any(x[1] > x[2] for x in met)
+    assert sorted(tuple(r) for r in spans.overlapping(left, right, "video_id", 2).select("video_id", "start", "end", "b_start", "b_end").collect()) == met
+
+
 def test_buffer_sample(spark):
     got = spans.buffer_sample(table(spark, [("v", 2, 5)], "video_id string, start long, end long"), table(spark, [("v", 8)], "video_id string, num_frames long"))
     assert sorted((r.frame, r.label) for r in got.collect()) == [(f, int(2 <= f <= 5)) for f in range(8)]
